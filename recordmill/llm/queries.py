@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bktree, rules
-from recordmill.llm.common import read, table
+from recordmill.llm import binrec, bktree, mixing, rules
+from recordmill.llm.common import read, shared_dir, table
+
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +26,16 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(stats, learned).select("doc_id", *rules.STATS, "base_failed", "kept", *rules.EXTRA, "rule")
 
 
+def op6_length_delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    binrec.write(read(spark, sf_dir, "documents"), folder, tokenizer_path(WORD_BPE))
+    return binrec.read_back(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bktree.grouped(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -24,6 +43,8 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decision_list": op3_decision_list,
+    "op6_length_delimited_records": op6_length_delimited_records,
+    "op7_source_schedule": op7_source_schedule,
     "op9_simhash_bktree": op9_simhash_bktree,
 }
 ORACLE_SQL: dict[str, str] = {}
