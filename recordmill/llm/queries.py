@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import binrec, bktree, mixing, rules
+from recordmill.llm import binrec, bktree, decontam, mixing, rules
 from recordmill.llm.common import read, shared_dir, table
 
 
@@ -36,6 +36,10 @@ def op7_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bktree.grouped(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decision_list": op3_decision_list,
     "op6_length_delimited_records": op6_length_delimited_records,
     "op7_source_schedule": op7_source_schedule,
+    "op8_latent_retrieval": op8_latent_retrieval,
     "op9_simhash_bktree": op9_simhash_bktree,
 }
 ORACLE_SQL: dict[str, str] = {}
