@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import binrec, bktree, decontam, mixing, rules
+from recordmill.llm import binrec, bktree, decontam, licenses, mixing, pii, rules
 from recordmill.llm.common import read, shared_dir, table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_template_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = table(rules.text_stats(read(spark, sf_dir, "documents"), ["doc_id"]))
     learned = rules.learn(stats, read(spark, sf_dir, "labels"))
@@ -45,11 +49,17 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_span_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_template_automata": op2_template_automata,
     "op3_decision_list": op3_decision_list,
     "op6_length_delimited_records": op6_length_delimited_records,
     "op7_source_schedule": op7_source_schedule,
     "op8_latent_retrieval": op8_latent_retrieval,
     "op9_simhash_bktree": op9_simhash_bktree,
+    "op10_span_votes": op10_span_votes,
 }
 ORACLE_SQL: dict[str, str] = {}
