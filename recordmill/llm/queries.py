@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import binrec, bktree, decontam, licenses, mixing, pii, rules
+from recordmill.llm import binrec, bktree, decontam, licenses, mixing, pii, rules, secrets, weaklabel
 from recordmill.llm.common import read, shared_dir, table
 
 
@@ -30,6 +30,14 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(stats, learned).select("doc_id", *rules.STATS, "base_failed", "kept", *rules.EXTRA, "rule")
 
 
+def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabel.judged(read(spark, sf_dir, "documents"))
+
+
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(read(spark, sf_dir, "documents"))
+
+
 def op6_length_delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     binrec.write(read(spark, sf_dir, "documents"), folder, tokenizer_path(WORD_BPE))
@@ -56,6 +64,8 @@ def op10_span_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_template_automata": op2_template_automata,
     "op3_decision_list": op3_decision_list,
+    "op4_weak_labels": op4_weak_labels,
+    "op5_markov_secrets": op5_markov_secrets,
     "op6_length_delimited_records": op6_length_delimited_records,
     "op7_source_schedule": op7_source_schedule,
     "op8_latent_retrieval": op8_latent_retrieval,
