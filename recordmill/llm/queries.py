@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import binrec, bktree, decontam, licenses, mixing, pii, rules, secrets, weaklabel
+from recordmill.llm import binrec, bktree, decontam, licenses, mixing, pii, quotes, rules, secrets, weaklabel
 from recordmill.llm.common import read, shared_dir, table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op2_template_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_span_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotation_links": op1_quotation_links,
     "op2_template_automata": op2_template_automata,
     "op3_decision_list": op3_decision_list,
     "op4_weak_labels": op4_weak_labels,
