@@ -35,6 +35,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 THRESHOLD = 0.5
 GENERATED = 2000
+BACKOFF = 5.0
 
 
 def _matches(pattern: str, group: int) -> Column:
@@ -89,7 +90,7 @@ def samples(scanned: DataFrame) -> DataFrame:
     names = scanned.select(F.explode(_outside()).alias("c")).select(F.col("c.t").alias("token")).where(F.col("token").rlike("^[A-Za-z]+$")).withColumn("random", F.lit(False))
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     made = scanned.sparkSession.range(GENERATED).select(
-        F.explode(F.array(digest, F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(digest)), "+/=", ""))).alias("token"), F.lit(True).alias("random")
+        F.explode(F.array(F.substring(digest, 1, 16), F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(digest)), "+/=", ""))).alias("token"), F.lit(True).alias("random")
     )
     return base.unionAll(names).unionAll(made)
 
@@ -110,11 +111,14 @@ def train(tokens: DataFrame) -> list[float]:
     got = {(r["random"], r["pair"]): r["count"] for r in pairs.where(F.col("pair").between(0, n * n - 1)).groupBy("random", "pair").count().collect()}
     logs = {}
     for kind in (True, False):
-        for a in range(n):
-            row = [got.get((kind, a * n + b), 0) + 0.5 for b in range(n)]
+        rows = [[got.get((kind, a * n + b), 0) for b in range(n)] for a in range(n)]
+        whole = sum(map(sum, rows))
+        # A bigram falls back on its second character, so that a first one never seen still says something.
+        single = [(sum(row[b] for row in rows) + 0.5) / (whole + 0.5 * n) for b in range(n)]
+        for a, row in enumerate(rows):
             total = sum(row)
             for b in range(n):
-                logs[kind, a * n + b] = math.log(row[b] / total)
+                logs[kind, a * n + b] = math.log((row[b] + BACKOFF * single[b]) / (total + BACKOFF))
     return [logs[True, k] - logs[False, k] for k in range(n * n)]
 
 
