@@ -21,6 +21,7 @@ records; an empty table gives an empty index; extra columns are ignored.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,8 @@ FOUND = "file string, doc_id long, start long, n_tokens long, ids_crc32 long"
 HEAD = struct.Struct("<QI")
 ITEM = struct.Struct("<BBq")
 CRC = struct.Struct("<I")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+TEXTS_AT_ONCE = 256
 
 
 def masked(crc: int) -> int:
@@ -80,28 +82,79 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "string" else pa.int64()) for c, k in zip(columns, kinds)], list(names))
 
 
-class WordIds(dict):
-    """Bytes of a word -> bytes of its ids. Texts are cut at ASCII blanks, across which the tokenizer never joins.
+class WordIds:
+    """Ids of words, remembered. Texts are cut at ASCII blanks, across which the tokenizer never joins.
 
-    That holds for tokenizers whose pre-tokenizer drops white space, as ``word_bpe_49k`` does.
+    That holds for tokenizers of words that drop white space, as ``word_bpe_49k`` does. It also composes and
+    lower-cases, keeps letters apart from marks and digits, and writes bytes as characters (``_BYTES``); so a
+    word of letters, in lower case, goes to the merges directly, and a mark after it has ids of its own. All
+    other words are encoded by the whole tokenizer, many at a time.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-        self[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+        self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks = {m: self._packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,;:!?"}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return b"".join(i.to_bytes(self.width, "little") for i in ids)
+
+    def _merged(self, word: str) -> bytes:
+        found = self.letters.get(word)
+        if found is None:
+            text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            found = self.letters[word] = self._packed([t.id for t in self.model.tokenize(text)])
+        return found
+
+    def _learn(self, words: set[bytes]) -> None:
+        rest = []
+        for w in words:
+            text, after = w.decode(), b""
+            if (last := text[-1]) in self.marks and text[-2:-1].isalpha():
+                text, after = text[:-1], self.marks[last]
+            if text.isalpha() and (text.isascii() or unicodedata.is_normalized("NFC", text) and not _CASED & set(text)):
+                self.known[w] = self._merged(text.lower()) + after
+            else:
+                rest.append(w)
+        if rest:
+            texts = [w.decode() for w in rest]
+            done = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = done.ids
+            cuts = np.searchsorted([a for a, _ in done.offsets], np.cumsum([0] + [len(t) + 1 for t in texts])).tolist()
+            for k, w in enumerate(rest):
+                self.known[w] = self._packed(ids[cuts[k] : cuts[k + 1]])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        if len(self.known) >= CACHED_WORDS:
+            self.known.clear()
+            self.letters.clear()
+        words = [(t or "").encode().split() for t in texts]
+        out = [list(map(self.known.get, w)) for w in words]
+        if unknown := {x for w, ids in zip(words, out) if None in ids for x, i in zip(w, ids) if i is None}:
+            self._learn(unknown)
+            out = [list(map(self.known.__getitem__, w)) if None in ids else ids for w, ids in zip(words, out)]
+        return list(map(b"".join, out))
+
+
+#: A worker's words, by tokenizer; tasks that run in one worker share them.
+_WORKERS: dict[str, WordIds] = {}
+# Letters whose lower case depends on what stands around them, or is more than one character.
+_CASED = frozenset("\u03a3\u0130")
+# How the byte-level pre-tokenizer writes bytes: printable ones as they are, the others from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _WORKERS:
+        _WORKERS[path] = WordIds(path)
+    return _WORKERS[path]
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2) -> DataFrame:
@@ -114,16 +167,18 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2)
         name, out, at, no, ids = f"{uuid.uuid4().hex}.rec", None, 0, 0, None
         for b in batches:
             if out is None:
-                ids = WordIds(tokenizer_path)
+                ids = word_ids(tokenizer_path)
                 end = np.array([end_id], f"<u{ids.width}").tobytes()
                 out = fs.open_output_stream(f"{base}/data/{name}", buffer_size=1 << 20)
             rows = []
-            for doc_id, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                body = ids.encode(text.as_py()) + end
-                data = frame(pack(doc_id, body, ids.width))
-                out.write(data)
-                rows.append((name, doc_id, h, no, at, len(data), len(body) // ids.width))
-                at, no = at + len(data), no + 1
+            for first in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(first, TEXTS_AT_ONCE)
+                for doc_id, h, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ids.encode(part.column(2).to_pylist())):
+                    body += end
+                    data = frame(pack(doc_id, body, ids.width))
+                    out.write(data)
+                    rows.append((name, doc_id, h, no, at, len(data), len(body) // ids.width))
+                    at, no = at + len(data), no + 1
             yield _batch(rows, INDEX)
         if out is not None:
             out.close()
