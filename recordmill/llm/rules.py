@@ -228,9 +228,11 @@ def judged(stats: DataFrame, rules: list[tuple[Test, ...]]) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the base test or a learned rule rejects; same columns and rows."""
-    ids = labels.where("doc_id is not null").select("doc_id").distinct()
-    rules = learn(table(text_stats(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), ["doc_id"])), labels)
+    """``docs`` without those that the base test or a learned rule rejects; same columns and rows.
+
+    Texts are measured twice, to learn and to judge, and never shuffled: only statistics meet the labels.
+    """
+    rules = learn(table(text_stats(docs.select("doc_id", "text"), ["doc_id"])), labels)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     # A number that isn't deterministic keeps the optimiser from pushing the filter below the statistics,
     # which would put them, many times over, into the filter.
