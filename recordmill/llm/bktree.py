@@ -191,7 +191,8 @@ def grouped(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: its smallest doc_id; without ids, one row of a fingerprint.
 
-    Repeated rows of the id that stays are reduced to one. Texts are not shuffled but for those.
+    Repeated rows of the id that stays are reduced to one. The ids that stay are most of all ids, so the join
+    with them is a sort-merge join at every size; a broadcast of them would grow with the corpus.
     """
     ids = table(grouped(docs.select("doc_id", "text")).where("doc_id <=> component_id").groupBy("doc_id").count())
     n = ids.count()
@@ -200,7 +201,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def among(which: DataFrame) -> DataFrame:
         which = which.select(F.col("doc_id").alias("_kept_id"))
-        return docs.join(which, key.eqNullSafe(which["_kept_id"]), "left_semi")
+        return docs.join(which.hint("merge"), key.eqNullSafe(which["_kept_id"]), "left_semi")
 
     if often.isEmpty():
         return among(once)
