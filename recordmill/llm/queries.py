@@ -35,7 +35,7 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weaklabel.judged(read(spark, sf_dir, "documents"))
+    return weaklabel.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,14 @@ maximisation estimates each labeller's accuracy without any truth. The posterior
 (``SAMPLE`` documents, those of the smallest hashes of doc_id) train a logistic scorer over hashed words
 and steps of the statistics; the scorer then scores every document, whole.
 
+One toxicity labeller knows stems (words and beginnings of words) that ``labels(doc_id, toxic)`` show to be
+toxic, so that it works in any language: at most ``STEMS`` of them, learned from at most ``LABELLED``
+labelled documents, those of the smallest hashes of doc_id. Without labels it has no opinion.
+
 Defined results: a null or empty text is of low quality and not toxic by its votes and is scored like
 any other; with no documents nothing is trained and nothing returned; repeated rows each get their
-row; extra columns are ignored.
+row; a document with several labels is toxic if one of them says so, and null labels say nothing; equal
+texts count once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +33,43 @@ from recordmill.llm.pii import estimate
 BUCKETS = 1 << 18
 SAMPLE = 20_000
 EPOCHS = 40
+LABELLED = 20_000
+STEMS = 5000
+STEM_BYTES = range(4, 10)
+STEM_PRECISION = 0.9
 # Insults that the toxicity labellers look for, by severity.
 HARSH = frozenset(b"idiot moron scum stupid trash".split())
 MILD = frozenset(b"clown disgusting loser pathetic worthless".split())
 # Frequent words of four languages.
 COMMON = frozenset("the of and to in is that it was for la le de et les des un une que en der die und das ein von zu el los y por con se".encode().split())
 QUALITY = ("length", "symbols", "capitals", "repeats", "shouts", "variety", "common", "tidy")
-TOXIC = ("harsh", "mild", "several", "density")
+TOXIC = ("harsh", "mild", "several", "density", "stems")
 SYMBOLS = re.compile(rb"[#*$%&|<>{}\\^~]")
 EDGES = b".,;:!?\"'()[]"
 SCORED = "doc_id long, quality_posterior double, quality_score double, toxic_posterior double, toxic_score double"
 
 
-def described(text: str | None) -> tuple[list[int], list[int], list[bytes]]:
+class Stems:
+    """Words and beginnings of words; ``hits`` counts the words that are or begin with one."""
+
+    def __init__(self, stems: frozenset[bytes] = frozenset()) -> None:
+        self.stems = stems
+        self.heads = frozenset(s[: STEM_BYTES[0]] for s in stems)
+
+    def hits(self, kinds: set[bytes]) -> int:
+        heads = self.heads
+        return sum(not self.stems.isdisjoint(stems_of(w)) for w in kinds if w[: STEM_BYTES[0]] in heads)
+
+
+def stems_of(word: bytes) -> list[bytes]:
+    """The word and its beginnings; nothing for a short word."""
+    return [word, *(word[:n] for n in STEM_BYTES if n < len(word))] if len(word) >= STEM_BYTES[0] else []
+
+
+NO_STEMS = Stems()
+
+
+def described(text: str | None, stems: Stems = NO_STEMS) -> tuple[list[int], list[int], list[bytes]]:
     """Votes on quality, votes on toxicity, and the scorer's features as words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -69,9 +98,17 @@ def described(text: str | None) -> tuple[list[int], list[int], list[bytes]]:
         1 if n >= 3 and symbols < 0.02 and capitals < 0.15 and shouts < 0.05 and same < 0.05 else -1,
     ]
     harsh, mild = HARSH & kinds, MILD & kinds
-    hits = sum(low.count(w) for w in harsh | mild)
-    toxic = [1 if harsh else -1, 1 if mild else -1, 1 if len(harsh | mild) > 1 else -1, 1 if hits / many > 0.005 else -1 if not hits else 0]
-    steps = (("n", min(n, 1000) // 10 if n < 30 else 99), ("sym", int(min(symbols, 1) * 20)), ("cap", int(capitals * 20)), ("var", int(min(variety, 1) * 10)), ("same", int(same * 20)), ("again", int(again * 10)), ("com", int(common * 25)), ("shout", int(min(shouts, 1) * 20)))
+    stem = stems.hits(kinds)
+    hits = sum(low.count(w) for w in harsh | mild) + (stem if stem > 1 else 0)  # one stem may be chance
+    # A list of English words has no opinion on a text without them; only the last two also speak for a text.
+    toxic = [
+        1 if harsh else 0,
+        1 if mild else 0,
+        1 if len(harsh | mild) > 1 else 0,
+        1 if hits / many > 0.005 else -1 if not hits else 0,
+        0 if not stems.stems else 1 if stem > 1 else -1,
+    ]
+    steps = (("n", min(n, 1000) // 10 if n < 30 else 99), ("sym", int(min(symbols, 1) * 20)), ("cap", int(capitals * 20)), ("var", int(min(variety, 1) * 10)), ("same", int(same * 20)), ("again", int(again * 10)), ("com", int(common * 25)), ("shout", int(min(shouts, 1) * 20)), ("stem", min(stem, 3)))
     return quality, toxic, [*kinds, *(f" {k}{v}".encode() for k, v in steps)]
 
 
@@ -83,13 +120,60 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def voted(docs: DataFrame) -> DataFrame:
+def sampled(keys: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of ``keys(doc_id, ...)``, those of the smallest hashes of doc_id."""
+    return keys.where("doc_id is not null").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(most)
+
+
+def learned_stems(docs: DataFrame, labels: DataFrame) -> frozenset[bytes]:
+    """Stems whose texts are toxic in ``STEM_PRECISION`` of the cases, more often than chance makes one of so many stems.
+
+    The log-likelihood ratio against the share of all texts must pass the logarithm of the number of stems.
+    The driver gets ``STEMS`` rows at most.
+    """
+    truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
+    truth = sampled(truth.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), LABELLED)
+    rows = _texts(docs).join(F.broadcast(truth), "doc_id").where("text is not null")  # LABELLED rows at most
+    rows = table(rows.groupBy("text").agg(F.max("toxic").alias("toxic")))
+    kinds = [("stem", pa.binary()), ("t", pa.int64()), ("c", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bytes, list[int]] = {}
+
+        def batch() -> pa.RecordBatch:
+            columns = [list(counts), *([n[k] for n in counts.values()] for k in (0, 1))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], [n for n, _ in kinds])
+
+        for b in batches:
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
+                low = text.as_py().encode("utf-8", "surrogatepass").translate(LOWER).split()
+                for stem in {s for w in {w.strip(EDGES) for w in low} for s in stems_of(w)}:
+                    counts.setdefault(stem, [0, 0])[0 if toxic > 0 else 1] += 1
+                if len(counts) >= 300_000:
+                    yield batch()
+                    counts.clear()
+        yield batch()
+
+    counts = table(rows.mapInArrow(run, "stem binary, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    n, whole = counts.count(), rows.agg(F.count_if(F.col("toxic") > 0).alias("t"), F.count("*").alias("n")).first()
+    if not whole["t"] or whole["t"] == whole["n"]:
+        return frozenset()
+    share = whole["t"] / whole["n"]
+    clean = F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (F.col("t") + F.col("c")) / (1 - share))).otherwise(0.0)
+    ratio = F.col("t") * F.log(F.col("t") / (F.col("t") + F.col("c")) / share) + clean
+    sure = counts.where(F.col("t") > 0).where(F.col("t") >= max(STEM_PRECISION, share) * (F.col("t") + F.col("c"))).withColumn("ratio", ratio)
+    found = sure.where(F.col("ratio") > float(np.log(n))).orderBy(F.col("ratio").desc(), "stem").limit(STEMS).select("stem").collect()
+    return frozenset(bytes(r["stem"]) for r in found)
+
+
+def voted(docs: DataFrame, stems: Stems = NO_STEMS) -> DataFrame:
     """``doc_id``, ``q`` and ``t`` (arrays of votes) of each row."""
     kind = pa.list_(pa.int32())
+    known = docs.sparkSession.sparkContext.broadcast(stems)  # at most STEMS words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [described(t.as_py())[:2] for t in b.column(1)]
+            got = [described(t.as_py(), known.value)[:2] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], kind), pa.array([x[1] for x in got], kind)], ["doc_id", "q", "t"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, q array<int>, t array<int>")
@@ -128,21 +212,22 @@ def fit(features: list[np.ndarray], targets: np.ndarray, *, step: float = 0.5, d
     return weights
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """SCORED of each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    votes = table(voted(docs))
+    stems = NO_STEMS if labels is None else Stems(learned_stems(docs, labels))
+    votes = table(voted(docs, stems))
     quality, _ = posteriors(votes, "q", 0.8)
     toxic, _ = posteriors(votes, "t", 0.1)
     if not quality:
         return spark.createDataFrame([], SCORED)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(SAMPLE)
+    ids = sampled(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), SAMPLE)
     sample = _texts(docs).join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sent = spark.sparkContext.broadcast((quality, toxic))  # at most 3 ** labellers patterns
+    sent = spark.sparkContext.broadcast((quality, toxic, stems))  # at most 3 ** labellers patterns, and STEMS words
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [described(t.as_py()) for t in b.column(1)]
+            got = [described(t.as_py(), sent.value[2]) for t in b.column(1)]
             y = [[sent.value[k][tuple(x[k])] for x in got] for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array([hashed(x[2]) for x in got], pa.list_(pa.int32())), pa.array(y[0]), pa.array(y[1])], ["x", "q", "t"])
 
@@ -158,7 +243,7 @@ def score(docs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for t in b.column(1):
-                q, v, words = described(t.as_py())
+                q, v, words = described(t.as_py(), sent.value[2])
                 at = hashed(words)
                 z = w[at].sum(axis=0) / np.sqrt(max(1, len(at))) + w[-1]
                 p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
@@ -169,7 +254,7 @@ def score(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(scored, SCORED)
 
 
-def judged(docs: DataFrame, *, quality: float = 0.5, toxic: float = 0.5) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame | None = None, *, quality: float = 0.5, toxic: float = 0.5) -> DataFrame:
     """``score`` with ``toxic`` and ``kept``: good enough, and not toxic."""
-    scored = score(docs)
+    scored = score(docs, labels)
     return scored.withColumn("toxic", F.col("toxic_score") >= toxic).withColumn("kept", (F.col("quality_score") >= quality) & (F.col("toxic_score") < toxic))

@@ -1,9 +1,16 @@
+import math
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from recordmill.llm import weaklabel
 
 
 def test_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    rows = weaklabel.judged(docs).join(labels.withColumnRenamed("toxic", "is_toxic"), "doc_id").collect()
+    held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(2)) == 0
+    rows = weaklabel.judged(docs, labels.where(~held)).join(labels.where(held).withColumnRenamed("toxic", "is_toxic"), "doc_id").collect()
     good = [r for r in rows if r.quality and not r.is_toxic]
     bad = [r for r in rows if not r.quality]
     assert sum(r.kept for r in good) >= 0.97 * len(good)
@@ -12,7 +19,60 @@ def test_held_out_labels(spark):
     assert sum(r.toxic for r in clean) <= 0.01 * len(clean)
 
 
+def toxic_texts(seed, n):
+    """Texts of invented words; a fifth are toxic, with three words that begin with an invented stem."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["ba", "to", "mi", "re", "su", "lan", "che"]) for _ in range(rng.randrange(1, 4)))
+    rows = []
+    for k in range(n):
+        w = [word() for _ in range(60)]
+        if k % 5 == 0:
+            w[10:40:10] = [rng.choice(["zorgu", "vexil"]) + word() for _ in range(3)]
+        rows.append((k, " ".join(w), k % 5 == 0))
+    return rows
+
+
+def brute_stems(rows):
+    toxic, clean = Counter(), Counter()
+    for text, bad in rows.items():
+        stems = {s for w in text.encode().split() for s in weaklabel.stems_of(w)}
+        (toxic if bad else clean).update(stems)
+    share, n = sum(rows.values()) / len(rows), len(set(toxic) | set(clean))
+    out = set()
+    for s, t in toxic.items():
+        c = clean[s]
+        ratio = t * math.log(t / (t + c) / share) + (c * math.log(c / (t + c) / (1 - share)) if c else 0)
+        if t >= weaklabel.STEM_PRECISION * (t + c) and ratio > math.log(n):
+            out.add(s)
+    return out
+
+
+def test_stems_equal_brute_force(spark):
+    rows = toxic_texts(1, 400)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(x)) for k, _, x in rows], "doc_id long, toxic int")
+    found = weaklabel.learned_stems(docs, labels)
+    assert found == brute_stems({t: x for _, t, x in rows}) and {b"zorgu", b"vexil"} <= found
+
+
+def test_stems_find_words_never_seen(spark):
+    rows = toxic_texts(2, 600)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(x)) for k, _, x in rows if k < 300], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in weaklabel.judged(docs, labels).collect()}
+    rest = [(got[k], x) for k, _, x in rows if k >= 300]
+    assert sum(a and b for a, b in rest) >= 0.95 * sum(b for _, b in rest)
+    assert not any(a and not b for a, b in rest)
+
+
 def test_odd_texts(odd, nothing):
     rows = weaklabel.judged(odd).collect()
     assert len(rows) == 11 and all(0 <= r.quality_score <= 1 for r in rows)
     assert weaklabel.judged(nothing).count() == 0
+
+
+def test_odd_labels(spark, odd, nothing):
+    labels = spark.createDataFrame([(0, 1), (3, 0), (3, 1), (3, None), (None, 1), (6, 0), (7, 1), (99, 1)], "doc_id long, toxic int").withColumns({c: F.lit("x") for c in ("text", "stem", "t", "c")})
+    assert weaklabel.judged(odd, labels).count() == 11
+    assert weaklabel.learned_stems(odd, labels.limit(0)) == weaklabel.learned_stems(odd, labels.withColumn("toxic", F.lit(1))) == frozenset()
+    assert weaklabel.judged(nothing, labels).count() == 0
