@@ -189,12 +189,17 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: its smallest doc_id; without ids, one row of a fingerprint.
+    """``docs`` with one row of each component: its smallest doc_id; without ids, one row of a fingerprint."""
+    return first_of_each(docs, grouped(docs.select("doc_id", "text")))
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the component_id of its group in ``groups(doc_id, component_id)``.
 
     Repeated rows of the id that stays are reduced to one. The ids that stay are most of all ids, so the join
     with them is a sort-merge join at every size; a broadcast of them would grow with the corpus.
     """
-    ids = table(grouped(docs.select("doc_id", "text")).where("doc_id <=> component_id").groupBy("doc_id").count())
+    ids = table(groups.where("doc_id <=> component_id").groupBy("doc_id").count())
     n = ids.count()
     once, often = table(ids.where("count = 1"), n), ids.where("count > 1")
     key = F.col("doc_id").cast("long")
