@@ -6,8 +6,9 @@
 2. Passages, and their paragraphs and lines, are normalised (lower case, runs of other than letters and
    digits as one blank) and hashed, as are the own texts, paragraphs and lines of all messages. A passage
    links to an earlier message of its conversation that has its hash (the first such), else to the first
-   in the whole table by (conv_id, turn); its whole text counts before paragraphs, those before lines.
-   Originals are reduced to one row for each hash (and conversation) before the join.
+   in other conversations by (conv_id, turn); its whole text counts before paragraphs, those before lines.
+   Originals are reduced to one row for each hash and conversation, and to a hash's first two
+   conversations, before the join.
 3. A message replies to the message that its first linked passage of level one quotes, if that is of its
    conversation, else to the message before it. Replies are ordered depth first, by turn, through the
    ranking of the tree's Euler tour: pointer jumping, in as many joins as the tour's length has bits.
@@ -102,10 +103,15 @@ def links(messages: DataFrame) -> DataFrame:
     wanted = quotes.select("key").distinct()
     originals = placed.select("conv_id", "turn", F.explode("keys").alias("key")).join(wanted, "key", "left_semi")
     own = originals.groupBy("key", "conv_id").agg(F.min("turn").alias("own_turn"))
-    first = originals.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # The first of the two smallest conversations: one of them is not the quoter's. Two minima, so that no key is one task.
+    first = own.groupBy("key").agg(F.min(F.struct("conv_id", F.col("own_turn").alias("turn"))).alias("first"))
+    later = own.join(first.select("key", F.col("first.conv_id").alias("c")), "key").where(F.col("conv_id") > F.col("c"))
+    second = later.groupBy("key").agg(F.min(F.struct("conv_id", F.col("own_turn").alias("turn"))).alias("second"))
+    first = first.join(second, "key", "left")
     near = quotes.join(own, ["key", "conv_id"], "left").join(first, "key", "left")
     same = F.when(F.col("own_turn") < F.col("turn"), F.struct(F.col("rank"), F.lit(0).alias("far"), F.col("conv_id").alias("c"), F.col("own_turn").alias("t")))
-    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.struct(F.col("rank"), F.lit(1).alias("far"), F.col("first.conv_id").alias("c"), F.col("first.turn").alias("t")))
+    away = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    other = F.when(away.isNotNull(), F.struct(F.col("rank"), F.lit(1).alias("far"), away["conv_id"].alias("c"), away["turn"].alias("t")))
     best = near.withColumn("best", F.coalesce(same, other)).groupBy("conv_id", "turn", "p").agg(F.min("level").alias("level"), F.min("best").alias("best"))
     return best.where("best is not null").select("conv_id", "turn", "p", "level", F.col("best.c").alias("to_conv"), F.col("best.t").alias("to_turn"))
 

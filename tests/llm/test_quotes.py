@@ -29,6 +29,15 @@ def test_links_and_order(spark):
     assert got[1, 3].text == "Reply to a line"
 
 
+def test_quoted_elsewhere_though_restated_here(spark):
+    rows = [
+        (1, 0, "a", "> Some passage\nreply"), (1, 1, "b", "Some passage"), (2, 3, "a", "some passage"), (3, 0, "a", "Some passage"),
+        (4, 0, "a", "> Own words\nOwn words"), (5, 0, "a", "> some passage\nx"),
+    ]
+    got = placed(spark, rows)
+    assert got[1, 0].links == "1:2:3" and got[5, 0].links == "1:1:1" and got[4, 0].links == ""
+
+
 def brute_order(parent):
     out, todo = [], [t for t, p in sorted(parent.items(), reverse=True) if p is None]
     while todo:
