@@ -6,7 +6,7 @@ are keyed by their Hamming distance to the parent, is built in the task that own
 a search follows only edges within the radius. The trees are not broadcast: together they grow
 with the corpus and no size bound holds for them. Shards of over ``SHARD`` fingerprints are split
 by further bits (three parts, one of which must agree), up to twice; as fingerprints are distinct,
-14 or 16 free bits are left then, so a shard has 65,536 fingerprints at the very most.
+14 or 15 free bits are left then, so a shard has 32,768 fingerprints at the very most.
 
 Defined results: a null text counts as empty and has fingerprint zero; repeated rows each get
 their row; a row without a doc_id gets the component of its fingerprint, null if no row with an
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import components, lower_bytes, table
+from recordmill.llm.common import components, lookup, lower_bytes, table
 
 RADIUS = 2
 SHINGLE = 3
@@ -185,7 +185,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     distinct = table(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     joined = components(links(distinct.where("rep is not null")))
     reps = distinct.join(joined, distinct["rep"] == joined["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(reps, "fp").select("doc_id", "fp", "component_id")
+    return lookup(rows, reps, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import table
+from recordmill.llm.common import let, running, table
 
 # The base kinds in order, their patterns, the group that is measured and its least length.
 KINDS = ("assign", "access", "hex")
@@ -41,34 +41,31 @@ BACKOFF = 5.0
 def _matches(pattern: str, group: int) -> Column:
     """Array of (s, e, t): where each match of ``_text`` begins and ends, and the group's text. JVM only.
 
-    The text between matches comes from split, the matches from regexp_extract_all; lengths add up to places.
+    The text between matches comes from split, the matches from regexp_extract_all; running sums of lengths give places.
     """
     gaps = F.transform(F.split("_text", pattern, -1), lambda x: F.char_length(x))
     hits = F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))
     texts = hits if group == 0 else F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))
-    zipped = F.arrays_zip(gaps.alias("gap"), F.transform(hits, lambda x: F.char_length(x)).alias("len"), texts.alias("t"))
-    kind = "struct<at: int, out: array<struct<s: int, e: int, t: string>>>"
-    walked = F.aggregate(
-        F.filter(zipped, lambda x: x["len"].isNotNull()),
-        F.from_json(F.lit('{"at": 0, "out": []}'), kind),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["len"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + x["len"]).alias("e"), x["t"].alias("t")))).alias("out"),
-        ),
-    )
+    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), texts.alias("t")), lambda x: x["hit"].isNotNull())
+    parts = F.transform(zipped, lambda x: F.struct(F.char_length(x["hit"]).alias("len"), x["gap"].alias("gap"), x["t"].alias("t")))
+
+    def spans(b: Column) -> Column:
+        ends = running(F.transform(b, lambda x: x["gap"] + x["len"]), 0, lambda a, x: a + x)
+        return F.transform(F.arrays_zip(b.alias("x"), ends.alias("e")), lambda z: F.struct((z["e"] - z["x"]["len"]).alias("s"), z["e"].alias("e"), z["x"]["t"].alias("t")))
+
     none = F.array().cast("array<struct<s: int, e: int, t: string>>")
-    return F.when(F.col("_text").rlike(pattern), walked["out"]).otherwise(none)
+    return F.when(F.col("_text").rlike(pattern), let(parts, spans)).otherwise(none)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``base`` (array of s, r, e, t; r is the kind's number) and ``candidates`` (array of s, e, t)."""
+    """``doc_id``, ``base`` (array of s, r, e, t; r is the kind's number) and ``candidates`` (array of s, e, t; no base span holds them)."""
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     for k in KINDS:
         pattern, group, least = PATTERNS[k]
         rows = rows.withColumn(f"_{k}", _long(_matches(QUICK.get(k, pattern), group), least))
     rows = rows.withColumn("_found", F.filter(_matches(CANDIDATE, 0), lambda x: x["t"].rlike("[A-Za-z]")))
-    base = F.array_sort(F.concat(*[F.transform(f"_{k}", _ranked(r)) for r, k in enumerate(KINDS)]))
-    return rows.select("doc_id", base.alias("base"), F.col("_found").alias("candidates"))
+    rows = rows.withColumn("_base", F.array_sort(F.concat(*[F.transform(f"_{k}", _ranked(r)) for r, k in enumerate(KINDS)])))
+    return rows.select("doc_id", F.col("_base").alias("base"), _outside(F.col("_base"), F.col("_found")).alias("candidates"))
 
 
 def _long(spans: Column, least: int) -> Column:
@@ -79,15 +76,27 @@ def _ranked(r: int):
     return lambda x: F.struct(x["s"].alias("s"), F.lit(r).alias("r"), x["e"].alias("e"), x["t"].alias("t"))
 
 
-def _outside() -> Column:
-    """The candidates that no base span holds."""
-    return F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["s"] <= c["s"]) & (c["e"] <= b["e"])))
+def _outside(base: Column, found: Column) -> Column:
+    """The spans ``found`` that no base span holds: in the order of starts, no base span before one ends where it ends or later."""
+    both = F.array_sort(
+        F.concat(
+            F.transform(base, lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("c"), x["e"].alias("e"), x["t"].alias("t"))),
+            F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(1).alias("c"), x["e"].alias("e"), x["t"].alias("t"))),
+        )
+    )
+
+    def free(b: Column) -> Column:
+        upto = running(F.transform(b, lambda x: F.when(x["c"] == 0, x["e"]).otherwise(F.lit(0))), 0, lambda a, x: F.greatest(a, x))
+        kept = F.filter(F.arrays_zip(b.alias("x"), upto.alias("upto")), lambda z: (z["x"]["c"] == 1) & (z["x"]["e"] > z["upto"]))
+        return F.transform(kept, lambda z: F.struct(z["x"]["s"].alias("s"), z["x"]["e"].alias("e"), z["x"]["t"].alias("t")))
+
+    return F.when((F.size(base) == 0) | (F.size(found) == 0), found).otherwise(let(both, free))
 
 
 def samples(scanned: DataFrame) -> DataFrame:
     """``token`` and ``random``: the labelled samples of the docstring above."""
     base = scanned.select(F.explode("base.t").alias("token"), F.lit(True).alias("random"))
-    names = scanned.select(F.explode(_outside()).alias("c")).select(F.col("c.t").alias("token")).where(F.col("token").rlike("^[A-Za-z]+$")).withColumn("random", F.lit(False))
+    names = scanned.select(F.explode("candidates").alias("c")).select(F.col("c.t").alias("token")).where(F.col("token").rlike("^[A-Za-z]+$")).withColumn("random", F.lit(False))
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     made = scanned.sparkSession.range(GENERATED).select(
         F.explode(F.array(F.substring(digest, 1, 16), F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(digest)), "+/=", ""))).alias("token"), F.lit(True).alias("random")
@@ -136,9 +145,7 @@ def find(docs: DataFrame) -> DataFrame:
     """``doc_id``, base counts, ``base_sha256``, ``spans`` and ``n_markov`` of each row."""
     scanned = table(scan(docs))
     ratios, taken = _scored(train(samples(scanned)))
-    rows = scanned.withColumn("_out", _outside()).withColumn(
-        "_placed", F.transform("_out", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), _places(c["t"]).alias("p")))
-    )
+    rows = scanned.withColumn("_placed", F.transform("candidates", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), _places(c["t"]).alias("p"))))
     rows = rows.withColumn("_ratios", ratios).withColumn("_markov", taken)
     every = F.array_sort(
         F.concat(
