@@ -201,7 +201,9 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min_by(F.struct("doc_id", "h"), "no").alias("key"))
     # A row a file: the window without a partition sees no records.
     order = Window.orderBy(F.col("key.doc_id").asc_nulls_first(), "key.h").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")).repartition("file")
+    files = files.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    # A task a file; a number that is given is kept, where rows dealt by key alone would be joined to one task.
+    files = files.repartition(max(1, index.select("file").distinct().count()), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = pafs_of(folder)
