@@ -6,7 +6,7 @@ and takes its rows away before the next one is grown. ``verdict`` turns the rule
 ordered CASE expression. Nothing here runs Python on the executors.
 
 Defined results: a null text counts as empty; a row without a label only gets a verdict; several
-labels of a document count by their mean; with no labels, or none of a class, no rule is learned
+labels of a document count by their mean; windows are compared by 64-bit hashes; with no labels, or none of a class, no rule is learned
 and only the base test decides; repeated rows each get their row; extra columns are ignored.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from recordmill.llm.common import table, words_of
 
 WINDOW = 5
+CUT_ROWS = 10_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_upper", "n_bangs", "n_distinct_words", "n_lines")
 #: What rules may test; all are cheap functions of the statistics.
@@ -124,17 +125,20 @@ def learn(
 
     ``stats`` should be a table: filters on statistics that are still to be computed repeat the work.
 
-    The driver gets at most ``len(FEATURES) * (bins + 1)`` counts a step. A rule stays if its
+    The driver gets at most ``len(FEATURES) * (bins + 1)`` counts a step. Thresholds lie between quantiles of at
+    most ``CUT_ROWS`` labelled rows; counts are of all. A rule stays if its
     precision on the pruning third and on the growing part is ``min_precision`` or more.
     """
     truth = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
     rows = table(
         stats.where(~base_failed())
         .join(truth, "doc_id")
-        .select(*STATS, *EXTRA, "bad", (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)) != 0).alias("grow"))
+        .select("doc_id", *STATS, *EXTRA, "bad", (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)) != 0).alias("grow"))
     )
     names = list(FEATURES)
-    cuts_row = rows.agg(*[F.percentile_approx(F.expr(FEATURES[f]).cast("double"), [k / bins for k in range(bins + 1)], 10000).alias(f) for f in names]).first()
+    # Cuts are quantiles of CUT_ROWS labelled rows at most, those of the smallest hashes: few enough to be exact, and the same each time.
+    some = rows.orderBy(F.xxhash64(F.lit("cuts"), "doc_id"), "doc_id", *STATS, *EXTRA).limit(CUT_ROWS)
+    cuts_row = some.agg(*[F.percentile_approx(F.expr(FEATURES[f]).cast("double"), [k / bins for k in range(bins + 1)], 10000).alias(f) for f in names]).first()
     cuts = {f: _midpoints(sorted(set(cuts_row[f] or []))) for f in names}
     binned = {f: _bin(FEATURES[f], cuts[f]) for f in names}
 
@@ -230,11 +234,10 @@ def judged(stats: DataFrame, rules: list[tuple[Test, ...]]) -> DataFrame:
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the base test or a learned rule rejects; same columns and rows.
 
-    Texts are measured twice, to learn and to judge, and never shuffled: only statistics meet the labels.
+    Texts are measured once: rows and statistics are written together, learning reads the statistics' columns
+    only, and judging reads all. No text is shuffled.
     """
-    rules = learn(table(text_stats(docs.select("doc_id", "text"), ["doc_id"])), labels)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    # A number that isn't deterministic keeps the optimiser from pushing the filter below the statistics,
-    # which would put them, many times over, into the filter.
-    seen = text_stats(docs.select(row, "text"), ["_row"]).withColumn("_nth", F.monotonically_increasing_id())
-    return judged(seen, rules).where("kept and _nth >= 0").select("_row.*")
+    seen = table(text_stats(docs.select(row, "text"), ["_row"]))
+    rules = learn(seen.withColumn("doc_id", F.col("_row.doc_id")), labels)
+    return judged(seen, rules).where("kept").select("_row.*")
