@@ -1,7 +1,9 @@
 """Personal data: labelers vote on candidate spans, expectation-maximisation weighs them, a classifier decides.
 
 1. Patterns give candidates: the four base kinds, which are spans by definition, and others (dates of
-   birth, account numbers, social security numbers, spelled-out addresses, names after a title).
+   birth, account numbers, social security numbers, spelled-out addresses, names after a title or that
+   begin with a listed given name). Those that touch a base span fall away; of others that touch, the
+   first stays, and of those that begin together the longest.
 2. Four labelers vote on each candidate: its pattern's own check, a gazetteer, the words before it, and
    what touches it. A vote is 1 (personal), -1 (not) or 0 (no opinion).
 3. The counts of vote patterns, a table of bounded size, go to the driver. Expectation-maximisation
@@ -16,7 +18,9 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -41,17 +45,29 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 OTHER = {
     "account": re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b"),
     "birth": re.compile(r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})\b"),
-    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?\b"),
+    "name": re.compile(r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20)?[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?\b"),
     "spelled": re.compile(r"\b[A-Za-z0-9._-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,10}\b"),
     "ssn": re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
 }
-GAZETTEER = {
-    "email": ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk"),
-    "spelled": ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk"),
-    "account": ("AT", "BE", "CH", "DE", "ES", "FR", "GB", "IE", "IT", "NL", "PL", "PT"),
-    "phone": ("1", "33", "34", "39", "41", "43", "44", "49", "91"),
-    "name": ("Anna", "David", "Emma", "Hans", "James", "Jean", "John", "Jose", "Juan", "Maria", "Marie", "Mary", "Paul", "Peter", "Sofia", "Thomas"),
-}
+# Where a name can begin, a title or a given name before another capital; frequent given names of four languages.
+TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20(?=[A-Z][a-z])")
+CAPITAL = re.compile(r"\b[A-Z][a-z]{1,20}(?=\x20[A-Z][a-z])")
+NAMES = frozenset(
+    "Adam Alan Albert Alejandro Alexander Alice Amanda Amy Ana Andrea Andreas Andrew Angela Anja Ann Anna Anne Anthony Antoine Antonio Barbara Ben Benjamin Bernd "
+    "Brian Carlos Carmen Carol Catherine Charles Charlotte Christian Christine Christopher Claire Claudia Daniel David Deborah Diego Dieter Donald Dorothy Edward "
+    "Elena Elizabeth Emily Emma Eric Eva Fernando Florian Francisco Frank Gabriel George Hannah Hans Harry Heather Heinz Helen Henri Henry Inge Isabel Isabelle Jack "
+    "Jacques James Jan Jane Javier Jean Jeffrey Jennifer Jessica Joan Johanna John Jonathan Jorge Jose Joseph Juan Julia Julie Karen Karin Katharina Kevin Klaus Laura "
+    "Lena Linda Lisa Louis Lucas Luis Luisa Manuel Marc Margaret Maria Marie Mark Markus Martin Mary Matthew Max Michael Michel Miguel Monika Nancy Nathalie Nicolas "
+    "Olivia Pablo Patricia Patrick Paul Paula Pedro Peter Philippe Pierre Rachel Rafael Ralf Rebecca Richard Robert Rosa Ruth Samuel Sandra Sara Sarah Sergio Silvia "
+    "Simon Sofia Sophie Stefan Stephen Steven Susan Sylvie Teresa Thomas Tim Timothy Ursula Uwe Victor William Wolfgang".split()
+)
+# Endings of domains, countries with IBANs, and the calling codes of one and two digits and the zones that have three.
+ENDINGS = frozenset("at au be biz br ca ch cn co com cz de dk edu es eu fi fr gov ie in info int io it jp kr me mil mx net nl no nz org pl pt ru se tr tv uk us za".split())
+COUNTRIES = frozenset(
+    "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
+)
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+ZONES = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
 FOR = re.compile(r"(?i)\b(?:e-?mail|mail|contact|reach|phone|tel|call|mobile|fax|ip|host|card|visa|iban|account|konto|compte|ssn|social security|born|birth|dob|name|dear)\b")
 AGAINST = re.compile(r"(?i)\b(?:version|v|release|isbn|issn|doi|sku|figure|table|section|example|copyright|page)\b")
 CONTEXT = 40
@@ -93,7 +109,30 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def _names(text: str) -> Iterator[tuple[int, int]]:
+    """A title or a known given name, and the capitalised words after it, two with a title, one without."""
+    for start in sorted({m.start() for m in TITLE.finditer(text)} | {m.start() for m in CAPITAL.finditer(text) if m[0] in NAMES}):
+        if m := OTHER["name"].match(text, start):
+            yield m.span()
+
+
+def other_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Candidates of the other kinds that touch none of ``taken`` nor each other: by start, the longer first, then by kind."""
+    found = [(s, -e, k) for k in OTHER_KINDS for s, e in (_names(text) if k == "name" else (m.span() for m in OTHER[k].finditer(text)))]
+    taken = sorted(taken)
+    starts = [s for s, _ in taken]
+    upto = list(itertools.accumulate((e for _, e in taken), max))  # the last end of the spans so far
+    out, last = [], 0
+    for s, e, k in sorted(found):
+        before = bisect.bisect_left(starts, -e)
+        if s >= last and not (before and upto[before - 1] > s):
+            out.append((k, s, -e))
+            last = -e
+    return out
+
+
 def _check(kind: str, s: str) -> int:
+    """What a kind's own rule says; 0 where it has none beside its pattern."""
     if kind == "account":
         s = s.replace(" ", "")
         return 1 if 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1 else -1
@@ -105,26 +144,32 @@ def _check(kind: str, s: str) -> int:
         return 1 if 1900 <= y <= 2025 and all(1 <= x <= 31 for x in rest) and min(rest) <= 12 else -1
     if kind == "ip":
         return -1 if s.split(".")[0].lstrip("0") in ("", "10", "127", "255") else 1
-    return 1
+    return 1 if kind == "card" else 0
+
+
+def _listed(kind: str, s: str) -> bool | None:
+    """Whether the gazetteer of a kind has the part of a span that it is about; None where there is no gazetteer."""
+    if kind == "phone":
+        code = re.sub(r"[^0-9]", "", s[:8])
+        return code[:1] in CODES or code[:2] in CODES or code[:2] in ZONES
+    if kind == "account":
+        return s[:2] in COUNTRIES
+    if kind == "name":
+        return any(x in NAMES for x in s.split())
+    if kind in ("email", "spelled"):
+        return re.split(r"[.\x20()\[\]]+", s.rstrip(")]"))[-1].lower() in ENDINGS
+    return None
 
 
 def votes(text: str, kind: str, s: int, e: int) -> tuple[list[int], int]:
     """What the labelers say of a span, and its shape (length and share of digits, in steps)."""
     body = text[s:e]
-    known = GAZETTEER.get(kind)
-    if kind == "phone":
-        listed = any(body[1:].startswith(x) for x in known)
-    elif kind == "account":
-        listed = body[:2] in known
-    elif kind == "name":
-        listed = any(x in body.split() for x in known)
-    else:
-        listed = bool(known) and re.split(r"[.\x20()\[\]]+", body.rstrip(")]"))[-1].lower() in known
+    listed = _listed(kind, body)
     before = text[max(0, s - CONTEXT) : s]
     context = 1 if FOR.search(before) else -1 if AGAINST.search(before) else 0
     touched = (s and text[s - 1].isalnum()) or (e < len(text) and text[e].isalnum())
     digits = sum(c.isdigit() for c in body) / max(1, len(body))
-    return [_check(kind, body), 0 if not known else 1 if listed else -1, context, -1 if touched else 1], 4 * min(3, (e - s) // 8) + min(3, int(4 * digits))
+    return [_check(kind, body), 0 if listed is None else 1 if listed else -1, context, -1 if touched else 1], 4 * min(3, (e - s) // 8) + min(3, int(4 * digits))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -133,11 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def of(text: str) -> tuple:
         base = base_spans(text)
         found = [(k, s, e, *votes(text, k, s, e)) for k in BASE_KINDS for s, e in base[k]]
-        taken = [(s, e) for k in BASE_KINDS for s, e in base[k]]
-        for k, p in OTHER.items():
-            for m in p.finditer(text):
-                if not any(s < m.end() and m.start() < e for s, e in taken):
-                    found.append((k, *m.span(), *votes(text, k, *m.span())))
+        found += [(k, s, e, *votes(text, k, s, e)) for k, s, e in other_spans(text, [x for k in BASE_KINDS for x in base[k]])]
         spans = [f"{k}:{s}:{e}" for k in BASE_KINDS for s, e in base[k]]
         rows = [{"kind": k, "s": s, "e": e, "v": v, "shape": shape} for k, s, e, v, shape in found]
         return *(len(base[k]) for k in BASE_KINDS), hashlib.sha256(",".join(spans).encode()).hexdigest(), spans, rows
@@ -154,7 +195,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SPANS)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 50, prior: float = 0.5) -> tuple[np.ndarray, float, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 50) -> tuple[np.ndarray, float, np.ndarray]:
     """Expectation-maximisation over patterns of votes in {-1, 0, 1} and their counts.
 
     Returns each labeler's table P(vote | class) of shape (labelers, 2, 3), the share of class 1 and the
@@ -215,9 +256,9 @@ def decided(weights: np.ndarray) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``doc_id``, base counts, ``base_sha256``, ``spans`` and ``n_added`` of each row."""
+    """``doc_id``, base counts, ``base_sha256``, ``spans``, ``n_added`` and ``n_spans`` of each row."""
     scanned = table(scan(docs))
     added = scanned.withColumn("_more", decided(train(scanned)))
     rank = ", ".join(repr(k) for k in OTHER_KINDS)
     more = F.expr(f"transform(array_sort(transform(_more, x -> named_struct('k', array_position(array({rank}), x.kind), 's', x.s, 'e', x.e, 'kind', x.kind))), x -> concat(x.kind, ':', x.s, ':', x.e))")
-    return added.select("doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", F.array_join(F.concat("base", more), ",").alias("spans"), F.size("_more").cast("long").alias("n_added"))
+    return added.select("doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", F.array_join(F.concat("base", more), ",").alias("spans"), F.size("_more").cast("long").alias("n_added"), (F.size("base") + F.size("_more")).cast("long").alias("n_spans"))
