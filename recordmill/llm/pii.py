@@ -71,6 +71,8 @@ ZONES = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 9
 FOR = re.compile(r"(?i)\b(?:e-?mail|mail|contact|reach|phone|tel|call|mobile|fax|ip|host|card|visa|iban|account|konto|compte|ssn|social security|born|birth|dob|name|dear)\b")
 AGAINST = re.compile(r"(?i)\b(?:version|v|release|isbn|issn|doi|sku|figure|table|section|example|copyright|page)\b")
 CONTEXT = 40
+#: Log odds of a vote at the start of an estimate in which abstentions are no evidence: 0.95.
+SURE = 3.0
 SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<string>, found array<struct<kind:string,s:int,e:int,v:array<int>,shape:int>>"
 
 
@@ -195,22 +197,26 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SPANS)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 50) -> tuple[np.ndarray, float, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 50, silent: bool = False) -> tuple[np.ndarray, float, np.ndarray]:
     """Expectation-maximisation over patterns of votes in {-1, 0, 1} and their counts.
 
     Returns each labeler's table P(vote | class) of shape (labelers, 2, 3), the share of class 1 and the
     posterior of each pattern. It starts from the sign of the votes' sum, so class 1 is what votes of 1 mean.
+    With ``silent``, a vote of 0 is no evidence of either class; what a lone vote is worth then follows from the start,
+    at which it counts ``SURE``.
     """
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
-    post = 1 / (1 + np.exp(-patterns.sum(axis=1).astype(float)))
+    if silent:
+        onehot[:, :, 1] = 0
+    post = 1 / (1 + np.exp(-patterns.sum(axis=1) * (SURE if silent else 1.0)))
     table_ = np.full((patterns.shape[1], 2, 3), 1 / 3)
     for _ in range(rounds):
         for c, weight in ((1, post * counts), (0, (1 - post) * counts)):
             sums = np.einsum("p,plv->lv", weight, onehot)
-            guess = np.array([[1.0, 1.0, 2.0]]) if c else np.array([[2.0, 1.0, 1.0]])  # a labeler is better than chance
+            guess = np.array([[1.0, 1.0 - silent, 2.0]]) if c else np.array([[2.0, 1.0 - silent, 1.0]])  # a labeler is better than chance
             table_[:, c] = (sums + guess) / (sums + guess).sum(axis=1, keepdims=True)
         prior = ((post * counts).sum() + 1) / (counts.sum() + 2)
-        logs = np.einsum("plv,lcv->pc", onehot, np.log(table_)) + np.log([1 - prior, prior])
+        logs = np.einsum("plv,lcv->pc", onehot, np.log(np.maximum(table_, 1e-300))) + np.log([1 - prior, prior])
         post = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
     return table_, prior, post
 

@@ -3,16 +3,19 @@
 For each task (quality, toxicity) several heuristics vote 1, -1 or 0 on a text. The counts of vote
 patterns, a table of at most 3 to the number of labellers, go to the driver, where expectation-
 maximisation estimates each labeller's accuracy without any truth. The posteriors of a bounded sample
-(``SAMPLE`` documents, those of the smallest hashes of doc_id) train a logistic scorer over hashed words
+(``SAMPLE`` texts, those of the smallest hashes, with ``FEATURES`` features together) train a logistic scorer over hashed words
 and steps of the statistics; the scorer then scores every document, whole.
 
 One toxicity labeller knows stems (words and beginnings of words) that ``labels(doc_id, toxic)`` show to be
 toxic, so that it works in any language: at most ``STEMS`` of them, learned from at most ``LABELLED``
 labelled documents, those of the smallest hashes of doc_id. Without labels it has no opinion.
 
+The labellers of a task share no list of words, and an abstention from a vote on toxicity is no evidence, once there
+are stems, so that the independence which the estimate assumes holds as far as the texts allow.
+
 Defined results: a null or empty text is of low quality and not toxic by its votes and is scored like
 any other; with no documents nothing is trained and nothing returned; repeated rows each get their
-row; a document with several labels is toxic if one of them says so, and null labels say nothing; equal
+row, with or without an id; a document with several labels is toxic if one of them says so, and null labels say nothing; equal
 texts count once; extra columns are ignored.
 """
 
@@ -24,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordmill.llm.common import LOWER, table
 from recordmill.llm.pii import estimate
 
 BUCKETS = 1 << 18
-SAMPLE = 20_000
+SAMPLE, FEATURES = 20_000, 8_000_000
 EPOCHS = 40
 LABELLED = 20_000
 STEMS = 5000
@@ -43,7 +47,7 @@ MILD = frozenset(b"clown disgusting loser pathetic worthless".split())
 # Frequent words of four languages.
 COMMON = frozenset("the of and to in is that it was for la le de et les des un une que en der die und das ein von zu el los y por con se".encode().split())
 QUALITY = ("length", "symbols", "capitals", "repeats", "shouts", "variety", "common", "tidy")
-TOXIC = ("harsh", "mild", "several", "density", "stems")
+TOXIC = ("harsh", "mild", "stems")
 SYMBOLS = re.compile(rb"[#*$%&|<>{}\\^~]")
 EDGES = b".,;:!?\"'()[]"
 SCORED = "doc_id long, quality_posterior double, quality_score double, toxic_posterior double, toxic_score double"
@@ -97,17 +101,10 @@ def described(text: str | None, stems: Stems = NO_STEMS) -> tuple[list[int], lis
         1 if common > 0.08 else -1 if common < 0.02 and n >= 30 else 0,
         1 if n >= 3 and symbols < 0.02 and capitals < 0.15 and shouts < 0.05 and same < 0.05 else -1,
     ]
-    harsh, mild = HARSH & kinds, MILD & kinds
+    # Two lists without a common word, and what is learned. A list of English words has no opinion on a text without them;
+    # stems have, as they are learned in every language. One stem may be chance.
     stem = stems.hits(kinds)
-    hits = sum(low.count(w) for w in harsh | mild) + (stem if stem > 1 else 0)  # one stem may be chance
-    # A list of English words has no opinion on a text without them; only the last two also speak for a text.
-    toxic = [
-        1 if harsh else 0,
-        1 if mild else 0,
-        1 if len(harsh | mild) > 1 else 0,
-        1 if hits / many > 0.005 else -1 if not hits else 0,
-        0 if not stems.stems else 1 if stem > 1 else -1,
-    ]
+    toxic = [1 if HARSH & kinds else 0, 1 if MILD & kinds else 0, 0 if not stems.stems else 1 if stem > 1 else -1]
     steps = (("n", min(n, 1000) // 10 if n < 30 else 99), ("sym", int(min(symbols, 1) * 20)), ("cap", int(capitals * 20)), ("var", int(min(variety, 1) * 10)), ("same", int(same * 20)), ("again", int(again * 10)), ("com", int(common * 25)), ("shout", int(min(shouts, 1) * 20)), ("stem", min(stem, 3)))
     return quality, toxic, [*kinds, *(f" {k}{v}".encode() for k, v in steps)]
 
@@ -179,14 +176,14 @@ def voted(docs: DataFrame, stems: Stems = NO_STEMS) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, q array<int>, t array<int>")
 
 
-def posteriors(votes: DataFrame, column: str, prior: float) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+def posteriors(votes: DataFrame, column: str, silent: bool = False) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
     """The posterior of each vote pattern, and each labeller's accuracy (of the votes it gives)."""
     rows = votes.groupBy(column).count().orderBy(column).collect()
     if not rows:
         return {}, np.zeros(0)
     patterns = np.array([r[column] for r in rows])
     counts = np.array([r["count"] for r in rows], float)
-    tables, share, post = estimate(patterns, counts, prior=prior)
+    tables, share, post = estimate(patterns, counts, silent=silent)
     right = share * tables[:, 1, 2] + (1 - share) * tables[:, 0, 0]
     said = share * (tables[:, 1, 2] + tables[:, 1, 0]) + (1 - share) * (tables[:, 0, 0] + tables[:, 0, 2])
     return {tuple(p): float(x) for p, x in zip(patterns.tolist(), post)}, right / said
@@ -217,21 +214,27 @@ def score(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     spark = docs.sparkSession
     stems = NO_STEMS if labels is None else Stems(learned_stems(docs, labels))
     votes = table(voted(docs, stems))
-    quality, _ = posteriors(votes, "q", 0.8)
-    toxic, _ = posteriors(votes, "t", 0.1)
+    quality, _ = posteriors(votes, "q")
+    toxic, _ = posteriors(votes, "t", silent=bool(stems.stems))  # stems have an opinion on every text
     if not quality:
         return spark.createDataFrame([], SCORED)
-    ids = sampled(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), SAMPLE)
-    sample = _texts(docs).join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Equal texts count once. The digest of a text places it in the sample, so rows without an id count too.
+    texts = _texts(docs).select("text", F.xxhash64(F.lit("sample"), F.coalesce("text", F.lit(""))).alias("h"))
+    chosen = texts.select("h").distinct().orderBy("h").limit(SAMPLE)
+    sample = texts.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
     sent = spark.sparkContext.broadcast((quality, toxic, stems))  # at most 3 ** labellers patterns, and STEMS words
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [described(t.as_py(), sent.value[2]) for t in b.column(1)]
             y = [[sent.value[k][tuple(x[k])] for x in got] for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([hashed(x[2]) for x in got], pa.list_(pa.int32())), pa.array(y[0]), pa.array(y[1])], ["x", "q", "t"])
+            x = pa.array([hashed(x[2]) for x in got], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), x, pc.cast(pc.list_value_length(x), pa.int64()), pa.array(y[0]), pa.array(y[1])], ["h", "x", "size", "q", "t"])
 
-    rows = table(sample.mapInArrow(features, "x array<int>, q double, t double")).toArrow()  # SAMPLE rows at most
+    made = table(sample.mapInArrow(features, "h long, x array<int>, size long, q double, t double"))
+    # SAMPLE rows at most, in the order of digests as long as they have FEATURES features together.
+    upto = made.select("h", F.sum("size").over(Window.orderBy("h")).alias("upto")).where(F.col("upto") <= FEATURES)
+    rows = made.join(F.broadcast(upto.select("h")), "h", "left_semi").orderBy("h").toArrow()
     if not rows.num_rows:
         return docs.sparkSession.createDataFrame([], SCORED)
     x = [np.asarray(v.values) for v in rows.column("x")]

@@ -65,6 +65,69 @@ def test_stems_find_words_never_seen(spark):
     assert not any(a and not b for a, b in rest)
 
 
+def brute_em(votes, rounds, silent):
+    """Expectation-maximisation row by row, from the docstring of ``estimate``."""
+    post = [1 / (1 + math.exp(-sum(v) * (3 if silent else 1))) for v in votes]
+    for _ in range(rounds):
+        chance = []
+        for k in range(len(votes[0])):
+            sums = {(c, x): (1 + (x == 2 * c - 1)) if x or not silent else 0 for c in (0, 1) for x in (-1, 0, 1)}
+            for v, p in zip(votes, post):
+                if v[k] or not silent:
+                    sums[1, v[k]] += p
+                    sums[0, v[k]] += 1 - p
+            chance.append({(c, x): n / sum(sums[c, y] for y in (-1, 0, 1)) for (c, x), n in sums.items()})
+        prior = (sum(post) + 1) / (len(votes) + 2)
+        post = []
+        for v in votes:
+            a, b = (math.log(p) + sum(math.log(chance[k][c, x]) for k, x in enumerate(v) if x or not silent) for c, p in ((1, prior), (0, 1 - prior)))
+            post.append(1 / (1 + math.exp(b - a)))
+    return post
+
+
+def test_posteriors_equal_brute_force(spark):
+    rng = random.Random(3)
+    votes = [[rng.choice([-1, 0, 1]) if rng.random() < 0.3 else (1 if k % 3 else -1) for _ in range(4)] for k in range(150)]
+    for silent in (False, True):
+        found, _ = weaklabel.posteriors(spark.createDataFrame([(v,) for v in votes], "q array<int>"), "q", silent)
+        want = brute_em(votes, 50, silent)
+        assert max(abs(found[tuple(v)] - p) for v, p in zip(votes, want)) < 1e-6
+
+
+def test_scorer_equals_brute_force():
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [sorted(rng.sample(range(50), rng.randrange(1, 8))) for _ in range(40)]
+    targets = [rng.random() for _ in rows]
+    got = weaklabel.fit([np.array(r, np.int32) for r in rows], np.array(targets))
+    w, seen = [0.0] * 51, [1e-8] * 51
+    for _ in range(weaklabel.EPOCHS):
+        grad = [0.0] * 51
+        for r, y in zip(rows, targets):
+            p = 1 / (1 + math.exp(-(sum(w[k] for k in r) / math.sqrt(len(r)) + w[50])))
+            for k in r:
+                grad[k] += (p - y) / len(rows) / math.sqrt(len(r))
+            grad[50] += (p - y) / len(rows)
+        for k in range(51):
+            g = grad[k] + (1e-5 * w[k] / len(rows) if k < 50 else 0)
+            seen[k] += g * g
+            w[k] -= 0.5 * g / math.sqrt(seen[k])
+    assert max(abs(a - b) for a, b in zip([*got[:50], got[-1]], w)) < 1e-9
+
+
+def test_votes():
+    stems = weaklabel.Stems(frozenset([b"zorgu", b"vexil"]))
+    said = lambda t: weaklabel.described(t, stems)[1]
+    assert said("an IDIOT, a loser.") == [1, 1, -1] and said("zorguba vexilto") == [0, 0, 1] and said("zorguba alone") == [0, 0, -1] and said(None) == [0, 0, -1]
+    assert weaklabel.described("an idiot")[1] == [1, 0, 0]
+
+
+def test_rows_without_ids(spark):
+    rows = spark.createDataFrame([(None, "a few words of a text"), (None, "and other words")], "doc_id long, text string")
+    assert weaklabel.judged(rows).count() == 2
+
+
 def test_odd_texts(odd, nothing):
     rows = weaklabel.judged(odd).collect()
     assert len(rows) == 11 and all(0 <= r.quality_score <= 1 for r in rows)
