@@ -9,7 +9,8 @@ Words are runs of lower-cased characters other than ASCII punctuation and blanks
 the base phrases are looked up word by word; their labels stay whatever the templates say.
 
 Defined results: a null text counts as empty; a text without a match has empty labels and null places;
-repeated rows each get their row; extra columns are ignored.
+repeated rows each get their row; extra columns are ignored. ``n_templates`` counts the templates that are
+accepted somewhere in the text.
 """
 
 from __future__ import annotations
@@ -21,18 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.llm.license_texts import TEMPLATES
+
 # The base phrases and their labels.
 BASE = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-TEMPLATES = {
-    "apache-notice": "licensed under the apache license [[version {{2}}]]",
-    "bsd-conditions": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-notice": "licensed under [[a|the]] [[creative commons]] cc [[by]] [[nc]] [[sa]] [[nd]] {{2}}",
-    "gpl-notice": "licensed under the [[terms of the]] gnu [[lesser|affero]] general public license [[version {{2}}]]",
-    "mit-notice": "[[released|licensed|distributed]] under the [[terms of the]] mit license",
-    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in {{2}} software without restriction",
-    "warranty": "the software is provided as is without warranty of any kind express or implied",
-}
 COLUMNS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long"
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -52,9 +46,14 @@ class Automaton:
         if rest != len(marks):
             raise ValueError(f"marks don't match in template {template!r}")
         self.closed = [self._closure(s) for s in range(len(self.edges))]
-        self.starts = {w for s in self.closed[0] for w, _ in self.edges[s]}
-        if None in self.starts or self.end in self.closed[0]:
+        if any(w is None for s in self.closed[0] for w, _ in self.edges[s]) or self.end in self.closed[0]:
             raise ValueError(f"template {template!r} can begin with any word, or match none")
+        #: The words that can begin a match, each with those that can follow; None where any word, or none, can.
+        self.starts: dict[bytes, set[bytes] | None] = {}
+        for w, to in ((w, to) for s in self.closed[0] for w, to in self.edges[s]):
+            after = {x for s in self.closed[to] for x, _ in self.edges[s]}
+            free = None in after or self.end in self.closed[to] or self.starts.get(w, after) is None
+            self.starts[w] = None if free else after | (self.starts.get(w) or set())
 
     def _state(self) -> int:
         self.edges.append([])
@@ -139,22 +138,24 @@ def scan_text(text: str | None, machines: dict[str, Automaton]) -> tuple:
     """The columns after doc_id for one text."""
     w = words(text)
     base = _base(w)
-    labels, n = {x for _, x in base}, 0
+    found: set[str] = set()
     starts: dict[bytes, list[str]] = {}
     for name, m in machines.items():
         for word in m.starts:
             starts.setdefault(word, []).append(name)
     for word, names in starts.items():
         at = -1
-        while True:
+        while open_ := [x for x in names if x not in found]:
             try:
                 at = w.index(word, at + 1)
             except ValueError:
                 break
-            for name in names:
-                if machines[name].match(w, at) is not None:
-                    labels.add(name)
-                    n += 1
+            after = w[at + 1] if at + 1 < len(w) else None
+            for name in open_:
+                second = machines[name].starts[word]
+                if (second is None or after in second) and machines[name].match(w, at) is not None:
+                    found.add(name)
+    labels, n = {x for _, x in base} | found, len(found)
     places = [p for p, _ in base]
     score = 1.0 if n else 0.5 if base else 0.0
     return len(w), len(base), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score, n
@@ -173,3 +174,31 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, (_, k) in zip(columns, kinds[1:]))], [n for n, _ in kinds])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
+
+
+def sql() -> str:
+    """DuckDB SQL for ``scan``: its regular expressions say over joined words what the automata say over words."""
+
+    def pattern(template: str) -> str:
+        marked = template.replace("|", " | ").replace("[[", " [[ ").replace("]]", " ]] ").split()
+        out = []
+        for m in marked:
+            n = re.fullmatch(r"\{\{(\d+)\}\}", m)
+            out.append({"[[": "(?:", "]]": ")?", "|": "|"}.get(m) or (f"(?: [^ ]+){{1,{n[1]}}}" if n else "".join(f" {x.decode()}" for x in words(m))))
+        return "".join(out) + " "
+
+    places = " || ".join(
+        f"list_transform(list_filter(ks, lambda i: {' AND '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase))}), lambda i: {{'i': i - 1, 'l': '{label}'}})"
+        for phrase, label in BASE.items()
+    )
+    found = ", ".join(f"CASE WHEN regexp_matches(t, '{pattern(t)}') THEN '{name}' END" for name, t in sorted(TEMPLATES.items()))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+        WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        joined AS (SELECT doc_id, w, range(1, len(w) + 1) AS ks, ' ' || array_to_string(w, ' ') || ' ' AS t FROM words),
+        hits AS (SELECT doc_id, len(w) AS n, {places} AS p, list_filter([{found}], lambda x: x IS NOT NULL) AS f FROM joined)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(list_transform(p, lambda x: x.i)) AS BIGINT) AS first_word,
+            CAST(list_max(list_transform(p, lambda x: x.i)) AS BIGINT) AS last_word, array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.l))), ',') AS base_labels,
+            array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.l), f))), ',') AS labels,
+            CASE WHEN len(f) > 0 THEN 1.0::DOUBLE WHEN len(p) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score, CAST(len(f) AS BIGINT) AS n_templates
+        FROM hits"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import binrec, bktree, decontam, licenses, mixing, pii, quotes, rules, secrets, weaklabel
+from recordmill.llm import base_sql, binrec, bktree, decontam, licenses, mixing, pii, quotes, rules, secrets, weaklabel
 from recordmill.llm.common import read, shared_dir, table
 
 
@@ -65,6 +65,22 @@ def op10_span_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def base_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op3_decision_list`` measures and its base test, without the learned rules."""
+    stats = rules.text_stats(read(spark, sf_dir, "documents"), ["doc_id"])
+    return stats.select("doc_id", *rules.STATS, rules.base_failed().alias("base_failed"))
+
+
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op5_markov_secrets`` counts by its base patterns."""
+    return op5_markov_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_personal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op10_span_votes`` counts by its base patterns."""
+    return op10_span_votes(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.BASE_KINDS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotation_links": op1_quotation_links,
     "op2_template_automata": op2_template_automata,
@@ -76,5 +92,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_latent_retrieval": op8_latent_retrieval,
     "op9_simhash_bktree": op9_simhash_bktree,
     "op10_span_votes": op10_span_votes,
+    "base_text_statistics": base_text_statistics,
+    "base_secret_counts": base_secret_counts,
+    "base_personal_counts": base_personal_counts,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_template_automata": licenses.sql(),
+    "base_text_statistics": base_sql.TEXT_STATISTICS,
+    "base_secret_counts": base_sql.SECRET_COUNTS,
+    "base_personal_counts": base_sql.PERSONAL_COUNTS,
 }
-ORACLE_SQL: dict[str, str] = {}

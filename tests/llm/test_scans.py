@@ -1,6 +1,9 @@
+import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -121,6 +124,129 @@ def test_automata():
             licenses.Automaton(wrong)
 
 
+def test_whole_licenses():
+    machines = {n: licenses.Automaton(t) for n, t in licenses.TEMPLATES.items()}
+    fill = lambda t: re.sub(r"\{\{\d+\}\}", "Some Holder", re.sub(r"\[\[|\]\]", " ", re.sub(r"\[\[([^\[\]|]*)\|[^\[\]]*\]\]", r"\1", t)))
+    for name, template in licenses.TEMPLATES.items():
+        said = licenses.scan_text(f"Copyright. {fill(template).upper()} end", machines)
+        assert name in said[5].split(","), name
+        broken = fill(template).split()
+        broken[len(broken) // 2] = "zzz"
+        if "{{" not in template and "[[" not in template:
+            assert name not in licenses.scan_text(" ".join(broken), machines)[5].split(",")
+    assert licenses.scan_text("licensed under cc today", machines)[5] == ""
+    assert "cc-notice" in licenses.scan_text("licensed under a CC BY-SA 4.0 license", machines)[5]
+
+
+def test_many_matches_in_one_text(spark):
+    n = 50_000
+    text = " ".join(f"token=abcdef{k} a{k}@b.example +1 555 010 {k % 9000 + 1000} {100 + k % 800}-45-{k % 9000 + 1000}" for k in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.find(df).first().n_assign == n
+    row = pii.find(df).first()
+    assert row.n_email == n and row.n_spans >= 2 * n
+
+
+def brute_markov(rows):
+    """The bigram models, and the spans above the threshold, by plain loops."""
+    base = {k: brute_secrets(t) for k, t in rows}
+    held = {k: [tuple(map(int, x.split(":")[1:])) for x in v] for k, v in base.items()}
+    found = {k: [m.span() for m in re.finditer(secrets.CANDIDATE, t or "") if re.search("[A-Za-z]", m[0])] for k, t in rows}
+    free = {k: [c for c in found[k] if not any(s <= c[0] and c[1] <= e for s, e in held[k])] for k, _ in rows}
+    texts = dict(rows)
+    values = []
+    for k, t in rows:
+        for x in base[k]:
+            kind, s, e = x.split(":")
+            body = t[int(s) : int(e)]
+            values.append(ASSIGN.match(body)[1] if kind == "assign" else body)
+    names = [texts[k][s:e] for k, spans in free.items() for s, e in spans if re.fullmatch("[A-Za-z]+", texts[k][s:e])]
+    for k in range(secrets.GENERATED):
+        d = hashlib.sha256(f"sample{k}".encode()).hexdigest()
+        b = base64.b64encode(bytes.fromhex(d)).decode()
+        values += [d[:16], b, b.translate(str.maketrans("", "", "+/="))]
+    at = {c: k for k, c in enumerate(secrets.ALPHABET)}
+    n, logs = len(at), []
+    for sample in (values, names):
+        pairs = Counter((at[a], at[b]) for x in sample for a, b in zip(x, x[1:]) if a in at and b in at)
+        firsts, seconds, whole = Counter(), Counter(), sum(pairs.values())
+        for (a, b), c in pairs.items():
+            firsts[a] += c
+            seconds[b] += c
+        logs.append({(a, b): math.log((pairs[a, b] + 5 * (seconds[b] + 0.5) / (whole + 0.5 * n)) / (firsts[a] + 5)) for a in range(n) for b in range(n)})
+    score = lambda x: sum(logs[0][at[a], at[b]] - logs[1][at[a], at[b]] for a, b in zip(x, x[1:])) / (len(x) - 1)
+    return {k: [f"markov:{s}:{e}" for s, e in free[k] if score(texts[k][s:e]) > secrets.THRESHOLD] for k, _ in rows}
+
+
+def test_markov_equals_brute_force(spark):
+    rng = random.Random(12)
+    pieces = [*PIECES, "ConfigurationManager", "a_long_ordinary_identifier", "x9Kq3ZpT0vLmN8rWc5Yd", "token=Zk3v9QpL0sXw8Rt5Bn2M", "deadbeefdeadbeefdeadbeef0123"]
+    rows = [(k, " ".join(rng.choice(pieces) for _ in range(20))) for k in range(150)]
+    want = brute_markov(rows)
+    for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert [x for x in r.spans.split(",") if x.startswith("markov")] == want[r.doc_id]
+
+
+def test_added_spans_equal_brute_force(spark):
+    """Votes, estimate and classifier by plain loops over the candidates of every row."""
+    rng = random.Random(13)
+    parts = ["my ssn is 123-45-6789", "sku 000-12-0000", "Dr. Anna Berg", "born 1980-02-03", "version 12.13.2030", "DE44 5001 0517 5407 3249 31", "a [at] b [dot] com", "x@y.org", "10.0.0.1", "call +49 30 1234567", "John Smith", "and so on"]
+    rows = [(k, ". ".join(rng.choice(parts) for _ in range(4))) for k in range(200)]
+    seen = []
+    for k, t in rows:
+        base = pii.base_spans(t)
+        every = [(x, s, e) for x in pii.BASE_KINDS for s, e in base[x]]
+        seen += [(k, x, s, e, *pii.votes(t, x, s, e)) for x, s, e in every + pii.other_spans(t, [y[1:] for y in every])]
+    post = brute_em([v for *_, v, _ in seen])
+    kinds = pii.BASE_KINDS + pii.OTHER_KINDS
+    width = 1 + 2 * len(pii.VOTES) + len(kinds) + 16
+
+    def on(kind, v, shape):
+        return [0, *(1 + 2 * j + (x < 0) for j, x in enumerate(v) if x), 1 + 2 * len(pii.VOTES) + kinds.index(kind), 1 + 2 * len(pii.VOTES) + len(kinds) + shape]
+
+    grouped = Counter()
+    target = {}
+    for (_, x, _, _, v, shape), p in zip(seen, post):
+        grouped[x, tuple(v), shape] += 1
+        target[x, tuple(v), shape] = p
+    w = [0.0] * width
+    for _ in range(500):
+        grad = [1e-4 * x for x in w]
+        for key, c in grouped.items():
+            p = 1 / (1 + math.exp(-sum(w[j] for j in on(*key))))
+            for j in on(*key):
+                grad[j] += c / len(seen) * (p - target[key])
+        w = [a - 2.0 * g for a, g in zip(w, grad)]
+    want = {k: [] for k, _ in rows}
+    for k, x, s, e, v, shape in seen:
+        if x in pii.OTHER_KINDS and sum(w[j] for j in on(x, v, shape)) > 0:
+            want[k].append(f"{x}:{s}:{e}")
+    added = 0
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got = [x for x in r.spans.split(",") if x.split(":")[0] in pii.OTHER_KINDS]
+        assert sorted(got) == sorted(want[r.doc_id])
+        added += len(got)
+    assert added
+
+
+def brute_em(votes, rounds=50):
+    post = [1 / (1 + math.exp(-sum(v))) for v in votes]
+    for _ in range(rounds):
+        chance = []
+        for k in range(len(votes[0])):
+            sums = {(c, x): 1 + (x == 2 * c - 1) for c in (0, 1) for x in (-1, 0, 1)}
+            for v, p in zip(votes, post):
+                sums[1, v[k]] += p
+                sums[0, v[k]] += 1 - p
+            chance.append({(c, x): n / sum(sums[c, y] for y in (-1, 0, 1)) for (c, x), n in sums.items()})
+        prior = (sum(post) + 1) / (len(votes) + 2)
+        post = []
+        for v in votes:
+            a, b = (math.log(p) + sum(math.log(chance[k][c, x]) for k, x in enumerate(v)) for c, p in ((1, prior), (0, 1 - prior)))
+            post.append(1 / (1 + math.exp(b - a)))
+    return post
+
+
 def test_odd_texts(odd, nothing):
     for scan in (licenses.scan, pii.find, secrets.find):
         assert scan(odd).count() == 11
