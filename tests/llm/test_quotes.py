@@ -1,6 +1,6 @@
 import random
 
-from recordmill.llm import quotes
+from recordmill.llm import common, quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -38,6 +38,82 @@ def test_quoted_elsewhere_though_restated_here(spark):
     assert got[1, 0].links == "1:2:3" and got[5, 0].links == "1:1:1" and got[4, 0].links == ""
 
 
+def test_short_lines_link_to_the_latest(spark):
+    rows = [(1, 0, "a", "Thanks\nfirst things"), (1, 1, "b", "Thanks"), (1, 2, "a", "> Thanks\nyou are welcome"), (1, 3, "b", "> Thanks\n> first things and more\nhm"), (2, 0, "a", "> Thanks\nnothing here")]
+    got = placed(spark, rows)
+    assert got[1, 2].links == "1:1:1" and got[1, 2].reply_to == 1
+    assert got[1, 3].links == "1:1:1" and got[2, 0].links == ""
+
+
+def brute_links(rows):
+    """Links and replies by looking at all messages for each passage."""
+    held = {}
+    for conv, turn, _, text in rows:
+        if conv is not None and turn is not None:
+            for key, (_, few) in quotes._keys(quotes.parse(text)[0]).items():
+                held.setdefault(key, set()).add((conv, turn))
+    links, reply = {}, {}
+    for conv, turn, _, text in rows:
+        if conv is None or turn is None:
+            continue
+        found = []
+        for p, (level, passage) in enumerate(quotes.parse(text)[1]):
+            options = []
+            for key, (rank, few) in quotes._keys(passage).items():
+                here = [t for c, t in held.get(key, ()) if c == conv]
+                if few:
+                    if early := [t for t in here if t < turn]:
+                        options.append((rank + 3, 0, conv, max(early)))
+                elif here and min(here) < turn:
+                    options.append((rank, 0, conv, min(here)))
+                elif away := [(c, t) for c, t in held.get(key, ()) if c != conv]:
+                    options.append((rank, 1, *min(away)))
+            if options:
+                found.append((p, level, *min(options)[2:]))
+        links[conv, turn] = ",".join(f"{n}:{c}:{t}" for _, n, c, t in found)
+        quoted = [t for p, n, c, t in found if n == 1 and c == conv]
+        early = [t for c, t, _, _ in rows if c == conv and t is not None and t < turn]
+        reply[conv, turn] = quoted[0] if quoted else max(early, default=None)
+    return links, reply
+
+
+def test_links_and_replies_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "BUCKET", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    rng = random.Random(4)
+    lines = ["Thanks", "Ok.", "ok then", "a line that everyone quotes", *(f"line number {k} of the talk" for k in range(25))]
+    rows = []
+    for conv in range(8):
+        for turn in range(25):
+            parts = []
+            for _ in range(rng.randrange(0, 3)):
+                mark = rng.choice(["> ", ">> ", "> > "])
+                parts += [mark + rng.choice([lines[2], rng.choice(lines)]) for _ in range(rng.randrange(1, 3))] + [""]
+            parts += rng.sample(lines, rng.randrange(0, 3))
+            rows.append((conv, turn, "u", "\n".join(parts)))
+    want, reply = brute_links(rows)
+    got = placed(spark, rows)
+    assert {k: r.links for k, r in got.items()} == want and sum(map(bool, want.values())) > 80
+    assert {k: r.reply_to for k, r in got.items()} == reply
+    for conv in range(8):
+        parent = {t: p for (c, t), p in reply.items() if c == conv}
+        assert [t for t, _ in sorted(((t, got[conv, t].position) for t in parent), key=lambda x: x[1])] == brute_order(parent)
+
+
+def test_every_planted_quote_is_found_on_the_whole_table(spark):
+    """A reply that quotes its conversation's first message is put after each conversation of the table."""
+    table = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    first, last = {}, {}
+    for conv, turn, _, text in table:
+        first[conv] = min(first.get(conv, (turn, text)), (turn, text))
+        last[conv] = max(last.get(conv, turn), turn)
+    more = [(c, last[c] + 1, "user", "\n".join("> " + x for x in text.split("\n")) + "\nI see") for c, (_, text) in first.items()]
+    got = placed(spark, table + more)
+    found = sum(got[c, t].reply_to == first[c][0] for c, t, _, _ in more)
+    assert found >= 0.98 * len(more)
+
+
 def brute_order(parent):
     out, todo = [], [t for t, p in sorted(parent.items(), reverse=True) if p is None]
     while todo:
