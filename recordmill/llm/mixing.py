@@ -8,14 +8,16 @@
    through the cumulative takes of the sources, so that any stretch of the schedule holds the
    sources in proportion. A slot's rank in its source names the block; past the last block the
    stream begins again.
-4. Blocks join the documents that they cover.
+4. Blocks join the documents that they cover: ``pieces`` is the mixed sequence, slot by slot, and what is taken of a
+   document is the sum of its pieces.
 
 Only DataFrame functions are used. Running sums are taken in two steps, inside chunks of bounded
 size and over the chunks' totals, so that a source with a third of all rows is no single task.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own,
-the last; with no words at all, targets are 0; repeated rows are separate documents; ties in the
-order are broken by size; extra columns are ignored.
+the last; with no words at all, targets are 0; repeated rows are separate documents; documents are ordered by a
+hash of doc_id and text, so that rows without an id are spread as well, and ties are broken by size; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +36,12 @@ SEED = 7
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and ``size`` (words of the whole text) of each row."""
-    return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    """``doc_id``, ``source``, ``size`` (words of the whole text) and ``h`` (the hash that orders) of each row."""
+    return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"), _order().alias("h"))
+
+
+def _order() -> Column:
+    return F.xxhash64(F.lit(SEED), "doc_id", "text")
 
 
 def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -103,44 +109,76 @@ def schedule(per: DataFrame, slots: int) -> DataFrame:
 def _placed(sizes: DataFrame, per: DataFrame) -> DataFrame:
     """``sizes`` with their source's columns and ``a``, the place of their first word in its stream."""
     rows = sizes.join(per, sizes["source"].eqNullSafe(per["source"])).drop(per["source"])
-    rows = rows.withColumns({"_h": F.xxhash64(F.lit(SEED), "doc_id"), "_bits": F.expr(f"int(ceil(log2(greatest(1.0D, rows / {CHUNK_ROWS}.0D))))")})
+    rows = rows.withColumns({"_bits": F.expr(f"int(ceil(log2(greatest(1.0D, rows / {CHUNK_ROWS}.0D))))")})
     # The order of h, a signed number, is that of its upper bits with the sign flipped.
-    rows = rows.withColumn("_chunk", F.expr("if(_bits = 0, 0L, shiftrightunsigned(_h ^ shiftleft(1L, 63), 64 - _bits))"))
-    inside = Window.partitionBy("sid", "_chunk").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_chunk", F.expr("if(_bits = 0, 0L, shiftrightunsigned(h ^ shiftleft(1L, 63), 64 - _bits))"))
+    inside = Window.partitionBy("sid", "_chunk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.groupBy("sid", "_chunk").agg(F.sum("size").alias("_sum"))
     off = sums.select(
         "sid", "_chunk", F.coalesce(F.sum("_sum").over(Window.partitionBy("sid").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
     )
     rows = rows.withColumn("_upto", F.sum("size").over(inside))
-    return rows.join(off, ["sid", "_chunk"]).withColumn("a", F.col("_before") + F.col("_upto") - F.col("size")).drop("_h", "_bits", "_chunk", "_before", "_upto")
+    return rows.join(off, ["sid", "_chunk"]).withColumn("a", F.col("_before") + F.col("_upto") - F.col("size")).drop("_bits", "_chunk", "_before", "_upto")
 
 
-def mix(docs: DataFrame, *, cycle: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken`` (words) of each row of ``docs``."""
+OUT = ["doc_id", "source", "size", "source_size", "target"]
+
+
+def _mixed(docs: DataFrame, cycle: tuple[int, ...], block_words: int) -> tuple[DataFrame, DataFrame | None]:
+    """The documents with their places, and for each document and slot that takes of it a piece; None if there is no slot."""
     sizes = table(sized(docs))
     per = table(_blocks(targets(sizes, cycle), block_words), 1)
     slots = per.agg(F.sum("takes")).first()[0] or 0
     rows = _placed(sizes, per)
-    out = ["doc_id", "source", "size", "source_size", "target"]
     if not slots:
-        return rows.select(*out, F.lit(0).cast("long").alias("taken"))
-    takes = schedule(per, slots).groupBy("sid", "block").agg(F.count_if(F.col("cut").isNull()).alias("full"), F.max("cut").alias("cut"))
+        return rows, None
     has = rows.where("size > 0").withColumn("block", F.explode(F.sequence(block_of(F.col("a")), block_of(F.col("a") + F.col("size") - 1))))
     start = start_of(F.col("block"))
-    x = F.greatest(F.col("a"), start)
-    y = F.least(F.col("a") + F.col("size"), start_of(F.col("block") + 1))
-    words = F.coalesce("full", F.lit(0)) * (y - x) + F.greatest(F.lit(0), F.least(y, start + F.coalesce("cut", F.lit(0))) - x)
-    taken = has.join(takes, ["sid", "block"], "left").groupBy("sid", "a", *out).agg(F.sum(words).alias("taken")).select(*out, "taken")
-    return taken.unionAll(rows.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken")))
+    upto = F.least(F.col("a") + F.col("size"), start_of(F.col("block") + 1), start + F.coalesce("cut", F.lit(2**62)))
+    spans = has.join(schedule(per, slots).select("k", "sid", "block", "cut"), ["sid", "block"], "left")
+    return rows, spans.withColumns({"from": F.greatest("a", start) - F.col("a"), "upto": F.greatest("a", start, upto) - F.col("a")})
+
+
+def pieces(docs: DataFrame, *, cycle: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mixed sequence: ``k`` (the slot) and ``place`` (of the piece in it), the document, and its words ``from`` to ``upto``."""
+    rows, spans = _mixed(docs, cycle, block_words)
+    if spans is None:
+        return rows.limit(0).select(F.lit(0).cast("long").alias("k"), F.col("a").alias("place"), "doc_id", "source", "h", F.col("a").alias("from"), F.col("a").alias("upto"))
+    return spans.where("k is not null and upto > from").select("k", (F.col("a") + F.col("from") - start_of(F.col("block"))).alias("place"), "doc_id", "source", "h", "from", "upto")
+
+
+def _taken(docs: DataFrame, cycle: tuple[int, ...], block_words: int) -> DataFrame:
+    rows, spans = _mixed(docs, cycle, block_words)
+    none = F.lit(0).cast("long").alias("taken")
+    if spans is None:
+        return rows.select(*OUT, "h", none)
+    words = F.sum(F.when(F.col("k").isNotNull(), F.col("upto") - F.col("from")).otherwise(0)).alias("taken")
+    return spans.groupBy("sid", "a", "h", *OUT).agg(words).select(*OUT, "h", "taken").unionAll(rows.where("size = 0").select(*OUT, "h", none))
+
+
+def mix(docs: DataFrame, *, cycle: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken`` (words, the sum of its pieces) of each row of ``docs``."""
+    return _taken(docs, cycle, block_words).select(*OUT, "taken")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as often as the mix takes them, whole: a document partly taken comes once more, one not taken is gone.
 
-    Rows that agree in doc_id, source and size all come as often as the one taken most.
+    Rows that agree in doc_id, source and text come as often as they are taken together.
     """
-    copies = mix(docs).groupBy("doc_id", "source", "size").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")
-    copies = copies.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_times")
-    rows = docs.select(*docs.columns, F.size(words_of(F.col("text"))).cast("long").alias("_size"))
-    joined = rows.join(copies, rows["doc_id"].eqNullSafe(copies["_i"]) & rows["source"].eqNullSafe(copies["_s"]) & (rows["_size"] == copies["_n"]))
-    return joined.withColumn("_one", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    times = F.ceil(F.col("taken") / F.col("size"))
+    copies = _taken(docs, (1, 2, 3), BLOCK_WORDS).where("size > 0").groupBy("doc_id", "source", "size", "h").agg(F.sum(times).cast("long").alias("_all"), F.count("*").alias("_rows"))
+    copies = table(copies.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("h").alias("_h"), F.expr("_all div _rows").alias("_each"), F.expr("_all % _rows").alias("_rest")))
+    rows = docs.select(*docs.columns, F.size(words_of(F.col("text"))).cast("long").alias("_size"), _order().alias("_hash"))
+
+    def among(which: DataFrame) -> DataFrame:
+        same = rows["doc_id"].eqNullSafe(which["_i"]) & rows["source"].cast("string").eqNullSafe(which["_s"]) & (rows["_size"] == which["_n"]) & (rows["_hash"] == which["_h"])
+        return rows.join(which, same)
+
+    out = among(copies.where("_each > 0")).withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select(*docs.columns)
+    rest = copies.where("_rest > 0")
+    if rest.isEmpty():  # only repeated rows leave a rest
+        return out
+    one = among(rest).dropDuplicates(["_i", "_s", "_n", "_h"])
+    some = one.withColumn("_many", F.explode(F.expr(f"sequence(0L, (_rest - 1) div {CHUNK_ROWS})"))).withColumn("_one", F.explode(F.expr(f"sequence(1L, least({CHUNK_ROWS}L, _rest - _many * {CHUNK_ROWS}))")))
+    return out.unionAll(some.select(*docs.columns))

@@ -70,3 +70,40 @@ def test_documents_come_as_often_as_taken(spark):
     for r in mixing.mixed_documents(docs).select("doc_id").collect():
         got[r.doc_id] += 1
     assert dict(got) == {k: v for k, v in times.items() if v}
+
+
+def test_the_sequence_takes_what_mix_says(spark):
+    rows = [(None if k % 3 == 0 else k, " ".join(f"w{k}x{j}" for j in range(k % 60)), ["big", "tiny", None, "b"][0 if k < 250 else k % 4]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.pieces(docs, block_words=50).orderBy("k", "place").collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source, r.doc_id, r.h] += r.upto - r["from"]
+    want = defaultdict(int)
+    for r in mixing._taken(docs, (1, 2, 3), 50).collect():
+        want[r.source, r.doc_id, r.h] += r.taken
+    assert taken == {k: v for k, v in want.items() if v}
+    # A slot's pieces lie side by side and are of one source; any stretch holds the sources in proportion.
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.k].append(r)
+    for of in slots.values():
+        assert len({r.source for r in of}) == 1 and of[0].place == 0
+        assert all(a.place + a.upto - a["from"] == b.place for a, b in zip(of, of[1:]))
+    order = [slots[k][0].source for k in sorted(slots)]
+    share = order.count("big") / len(order)
+    for a in range(0, len(order) - 32, 32):
+        assert abs(order[a : a + 32].count("big") / 32 - share) < 0.2
+
+
+def test_rows_without_ids_are_many_chunks(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) doc_id", "concat('word ', id) text", "'s' source")
+    sizes = mixing.sized(docs)
+    assert sizes.select("h").distinct().count() == 3000
+
+
+def test_repeated_rows_come_as_often_as_taken_together(spark):
+    rows = [(1, "a b c", "s")] * 7 + [(k, "w " * 40, "t") for k in range(10, 40)] + [(50, "x y", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sum(-(-r.taken // r.size) for r in mixing.mix(docs).collect() if r.doc_id == 1)
+    assert mixing.mixed_documents(docs).where("doc_id = 1").count() == want
