@@ -73,3 +73,17 @@ def test_odd_rows(spark, odd, nothing):
     got = nearcopies.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text.lower().split()[0]) for r in got) == [(0, "another"), (0, "no"), (1, "with")]
     assert nearcopies.deduplicated(nothing).count() == 0
+
+
+def test_tiles_of_large_buckets_equal_brute_force(spark, monkeypatch):
+    """A group of which many pairs are near 0.8 and few links join all; tiles and streams of a few sets."""
+    monkeypatch.setattr(nearcopies, "TILE", 4)
+    monkeypatch.setattr(nearcopies, "STREAM", 16)
+    rng, texts = random.Random(8), {}
+    base = [f"w{rng.getrandbits(30)}" for _ in range(150)]
+    for k in range(150):
+        texts[k] = " ".join(altered(rng, base, rng.randrange(1, 9)))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nearcopies.grouped(frame).collect()}
+    want = brute_groups(texts)
+    assert got == want and 3 < len(set(want.values())) < 140
