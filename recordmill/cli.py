@@ -17,6 +17,7 @@ from recordmill import __version__
 from recordmill.dsl.compiler import VALIDATE, compile_expression, programs
 from recordmill.dsl.errors import ExpressionError
 from recordmill.errors import RecordmillError
+from recordmill.model import RuntimeContext
 from recordmill.operators.stages import JsonDumpStage, JsonLoadStage, ToolProgramStage
 from recordmill.plans.run import POLICIES, Pipeline, SequentialExecutor, ThreadExecutor, report
 from recordmill.sources.base import split_format
@@ -52,14 +53,14 @@ def load_pipeline(text: str) -> Pipeline:
     return found
 
 
-def source_of(text: str) -> JsonlSource | ParquetSource:
+def source_of(text: str, raw: bool = False) -> JsonlSource | ParquetSource:
     kind, path = split_format(text)
-    return ParquetSource(path) if kind == "parquet" else JsonlSource(path)
+    return ParquetSource(path) if kind == "parquet" else JsonlSource(path, raw=raw)
 
 
-def sink_of(text: str) -> JsonlSink | ParquetSink:
+def sink_of(text: str, raw: bool = False) -> JsonlSink | ParquetSink:
     kind, path = split_format(text)
-    return ParquetSink(path) if kind == "parquet" else JsonlSink(path)
+    return ParquetSink(path) if kind == "parquet" else JsonlSink(path, raw=raw)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -70,15 +71,24 @@ def _parser() -> argparse.ArgumentParser:
     def running(p: argparse.ArgumentParser) -> None:
         p.add_argument("--errors", choices=POLICIES, default="raise")
         p.add_argument("--error-output")
-        p.add_argument("--unordered", action="store_true")
+        order = p.add_mutually_exclusive_group()
+        order.add_argument("--ordered", dest="ordered", action="store_true", default=True)
+        order.add_argument("--unordered", dest="ordered", action="store_false")
+        bar = p.add_mutually_exclusive_group()
+        bar.add_argument("--progress", dest="progress", action="store_true", default=True)
+        bar.add_argument("--no-progress", dest="progress", action="store_false")
+        p.add_argument("--rank", type=int)
+        p.add_argument("--world-size", type=int)
+        p.add_argument("--local-rank", type=int)
         p.add_argument("--executor", choices=("process", "thread", "sequential"), default="process")
         p.add_argument("--workers", type=int)
         p.add_argument("--max-in-flight", type=int)
 
     p = sub.add_parser("run", help="run a pipeline")
     p.add_argument("pipeline", help="MODULE:NAME or FILE.py:NAME")
-    p.add_argument("--source", required=True, help="[FORMAT:]PATH")
-    p.add_argument("--sink", required=True, help="[FORMAT:]PATH")
+    p.add_argument("--source", "--input", required=True, help="[FORMAT:]PATH")
+    p.add_argument("--sink", "--output", required=True, help="[FORMAT:]PATH")
+    p.add_argument("--raw", action="store_true", help="JSON lines are taken and written as they are, for pipelines that load and dump them")
     running(p)
     p = sub.add_parser("inspect", help="list a pipeline's stages")
     p.add_argument("pipeline")
@@ -87,13 +97,16 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("expression")
     p.add_argument("input")
     p.add_argument("output")
-    p.add_argument("--validate", choices=VALIDATE, default="always")
+    p.add_argument("--validate-tools", "--validate", dest="validate", choices=VALIDATE, default="always")
+    p.add_argument("--input-format", choices=("jsonl",), default="jsonl")
+    p.add_argument("--output-format", choices=("jsonl",), default="jsonl")
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--json", action="store_true")
     running(p)
     p = sub.add_parser("inspect-expression", help="compile an expression and describe it")
     p.add_argument("expression")
     p.add_argument("--json", action="store_true")
+    p.add_argument("--validate-tools", dest="validate", choices=VALIDATE, default="always")
 
     def installing(p: argparse.ArgumentParser) -> None:
         p.add_argument("file")
@@ -115,7 +128,8 @@ def _parser() -> argparse.ArgumentParser:
 
 def _run(pipeline: Pipeline, source: Any, sink: Any, a: argparse.Namespace, error_sink: Any) -> int:
     executor = SequentialExecutor() if a.executor == "sequential" else ThreadExecutor(a.workers, a.max_in_flight)
-    stats = pipeline.run(source, sink, executor=executor, ordered=not a.unordered, errors=a.errors, error_sink=error_sink, max_in_flight=a.max_in_flight)
+    runtime = RuntimeContext.auto(rank=a.rank, world_size=a.world_size, local_rank=a.local_rank)
+    stats = pipeline.run(source, sink, executor=executor, ordered=a.ordered, errors=a.errors, error_sink=error_sink, max_in_flight=a.max_in_flight, runtime=runtime, progress=a.progress)
     print(
         f"completed={stats.completed_records} failed={stats.failed_records} dropped={stats.dropped_records} elapsed={stats.elapsed_seconds:.2f}s rate={stats.records_per_second:.0f} rec/s",
         file=sys.stderr,
@@ -163,7 +177,7 @@ def main(argv: Sequence[str] | None = None) -> int:
             print(json.dumps(rows) if a.json else "\n".join(f"{r['index']}: {r['name']} ({r['kind']})" for r in rows))
             return 0
         if a.command == "run":
-            return _run(load_pipeline(a.pipeline), source_of(a.source), sink_of(a.sink), a, sink_of(a.error_output) if a.error_output else None)
+            return _run(load_pipeline(a.pipeline), source_of(a.source, a.raw), sink_of(a.sink, a.raw), a, JsonlSink(a.error_output) if a.error_output else None)
         compiled = compile_expression(a.expression)
         if a.command == "inspect-expression" or a.dry_run:
             print(json.dumps(compiled.describe()) if a.json else "\n".join(programs(compiled)))
@@ -177,7 +191,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         if (spark := SparkSession.getActiveSession()) is not None:
             spark.sparkContext.cancelAllJobs()
         return 130
-    except (RecordmillError, ExpressionError, ProviderError) as e:
+    except (RecordmillError, ExpressionError, ProviderError, OSError) as e:
         print(e, file=sys.stderr)
         return 1
 

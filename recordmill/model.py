@@ -122,7 +122,8 @@ def detect() -> dict[str, Any]:
 
 
 def is_rank_aware_env() -> bool:
-    return detect()["environment"] != "local"
+    """Whether a launcher has set any of its variables."""
+    return any(environment_of(launcher) for launcher in LAUNCHERS)
 
 
 @dataclass

@@ -44,11 +44,11 @@ def raw_line(x: Any) -> bytes:
     return data[:-1] if data.endswith(b"\n") else data
 
 
-def payload(seq: int | None, stage: str | None, error: BaseException, metadata: dict | None = None) -> dict[str, Any]:
+def payload(seq: int | None, stage: str | None, error: BaseException, metadata: dict | None = None, traced: bool = True) -> dict[str, Any]:
     """An error as a JSON object."""
     cause = error.cause if isinstance(error, StageExecutionError) and isinstance(error.cause, BaseException) else error
     out = {
-        "seq": seq, "error_type": type(cause).__name__, "error_message": str(cause), "traceback": "".join(traceback.format_exception(cause)),
+        "seq": seq, "error_type": type(cause).__name__, "error_message": str(cause), "traceback": "".join(traceback.format_exception(cause)) if traced else "",
         "stage_name": stage, "metadata": metadata or {},
     }
     if isinstance(cause, ToolExecutionError):
@@ -58,7 +58,10 @@ def payload(seq: int | None, stage: str | None, error: BaseException, metadata:
 
 @dataclass
 class RecordProgram:
-    """Stages with the way in and out. ``decode`` makes a record of a row's columns, ``encode`` bytes of a result."""
+    """Stages with the way in and out. ``decode`` makes a record of a row's columns, ``encode`` bytes of a result.
+
+    ``traced`` is off where nobody reads the errors; ``tally`` has accumulators of records, drops and errors, for progress.
+    """
 
     stages: list[Stage]
     decode: Callable[[tuple], Any]
@@ -66,6 +69,8 @@ class RecordProgram:
     rank: int = 0
     world_size: int = 1
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
+    traced: bool = True
+    tally: tuple[Any, Any, Any] | None = None
 
     def _stages(self, context: WorkerContext) -> list[Stage]:
         """This worker's own copy, set up at its first partition and torn down when the worker ends."""
@@ -96,6 +101,9 @@ class RecordProgram:
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
             rows = [self._one(seq, row, stages, context) for seq, *row in zip(*columns)]
+            if self.tally:
+                for counter, n in zip(self.tally, (len(rows), sum(r[1] == "dropped" for r in rows), sum(r[1] in ("error", "sink") for r in rows))):
+                    counter.add(n)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
     def _one(self, seq: int, row: list, stages: list[Stage], context: WorkerContext) -> tuple:
@@ -103,14 +111,14 @@ class RecordProgram:
         try:
             value = self.decode(tuple(row))
         except Exception as e:
-            return seq, "error", None, json.dumps(payload(seq, None, e))
+            return seq, "error", None, json.dumps(payload(seq, None, e, traced=self.traced))
         if isinstance(value, SourceRecordError):
-            return seq, "error", None, json.dumps(payload(seq, None, value.error, value.metadata))
+            return seq, "error", None, json.dumps(payload(seq, None, value.error, value.metadata, self.traced))
         for s in stages:
             try:
                 value = s.process(value, context)
             except Exception as e:
-                return seq, "error", None, json.dumps(payload(seq, s.name, e))
+                return seq, "error", None, json.dumps(payload(seq, s.name, e, traced=self.traced))
             if value is DROP:
                 return seq, "dropped", None, None
         try:

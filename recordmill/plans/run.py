@@ -6,22 +6,23 @@ has one action, unless results are needed twice; then the status rows are writte
 
 from __future__ import annotations
 
+import contextlib
 import json
 import logging
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.errors import PipelineValidationError, RemoteError, SinkError, StageExecutionError
 from recordmill.model import ExecutionStats, ProgressSnapshot, RateTracker, RuntimeContext
 from recordmill.operators.stages import Stage, as_stage, named
 from recordmill.plans.program import STATUS, RecordProgram, json_line
+from recordmill.progress import ProgressReporter, TqdmReporter, Watch
 from recordmill.sharding import Sharding, default_sharding_for
+from recordmill.sources import files
 from recordmill.sources.base import Sink, Source
 from recordmill.sources.jsonl import JsonlSink, JsonlSource
 from recordmill.sources.local import IterableSource
@@ -73,21 +74,26 @@ class Pipeline:
     def __repr__(self) -> str:
         return f"Pipeline([{', '.join(s.name for s in self.stages)}])"
 
-    def plan(self, spark: SparkSession, source: Source, encode: Callable[[Any], bytes], runtime: RuntimeContext, sharding: Sharding, partitions: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-        """STATUS rows, and the rows that came in where native stages have filtered some (else None)."""
-        df, stages, came = source.owned(spark, runtime, sharding), list(self.stages), None
+    def plan(
+        self, spark: SparkSession, source: Source, encode: Callable[[Any], bytes], runtime: RuntimeContext, sharding: Sharding, partitions: int | None = None, traced: bool = True, tally: tuple | None = None
+    ) -> tuple[DataFrame, bool]:
+        """STATUS rows, and whether native stages have filtered some before."""
+        df, stages, native = source.owned(spark, runtime, sharding), list(self.stages), False
         while source.typed and stages and (after := stages[0].native(df)) is not None:
-            came = df if came is None else came
-            df, stages = after, stages[1:]
+            df, stages, native = after, stages[1:], True
         if late := [s.name for s in stages if isinstance(getattr(s, "fn", None), dict) or not callable(getattr(s, "predicate", callable))]:
             raise PipelineValidationError(f"stages of Columns come first, on a typed source: {late}")
         if partitions:
             df = df.coalesce(partitions)
-        program = RecordProgram(stages, source.decode([c for c in df.columns if c != "seq"]), encode, runtime.rank, runtime.world_size)
-        return df.mapInArrow(program, STATUS), came
+        df = df.select("seq", *(f"`{c}`" for c in df.columns if c != "seq"))
+        program = RecordProgram(stages, source.decode(df.columns[1:]), encode, runtime.rank, runtime.world_size, traced=traced, tally=tally)
+        return df.mapInArrow(program, STATUS), native
 
     def results(self, spark: SparkSession, source: Any, *, encode: Callable[[Any], bytes] = json_line, runtime: RuntimeContext | None = None, sharding: Sharding | None = None) -> DataFrame:
-        """STATUS rows of all records, lazily: ``seq``, ``status`` (ok, dropped, error, sink), ``value`` and ``error``."""
+        """STATUS rows of all records: ``seq``, ``status`` (ok, dropped, error, sink), ``value`` and ``error``.
+
+        Only the sizes of the source's splits are counted at once, for the numbers; the rest is lazy.
+        """
         runtime = runtime or RuntimeContext()
         return self.plan(spark, as_source(source), encode, runtime, sharding or default_sharding_for(runtime))[0]
 
@@ -104,7 +110,7 @@ class Pipeline:
         errors: str = "raise",
         error_sink: Sink | None = None,
         max_in_flight: int | None = None,
-        progress_reporter: Any = None,
+        progress_reporter: ProgressReporter | None = None,
         spark: SparkSession | None = None,
     ) -> ExecutionStats:
         """Runs the stages over ``source`` into ``sink`` and counts.
@@ -121,33 +127,39 @@ class Pipeline:
         sharding = sharding or default_sharding_for(runtime)
         source = as_source(source)
         clock = RateTracker()
-        log.info("from %s to %s, rank %d of %d, errors: %s", type(source).__name__, type(sink).__name__, runtime.rank, runtime.world_size, errors)
+        log.info("from %s to %s, %s, rank %d of %d, errors: %s", described(source), described(sink), type(executor or ProcessExecutor()).__name__, runtime.rank, runtime.world_size, errors)
         stats = ExecutionStats(rank=runtime.rank, world_size=runtime.world_size)
         one = 1 if isinstance(executor, SequentialExecutor) or executor and executor.workers == 1 else None
-        opened: list[Sink] = []
+        opened: list[Sink | Source] = []
         raised: BaseException | None = None
-        scratch = None
+        scratch = watch = None
+        reporter = progress_reporter or (TqdmReporter() if progress else None)
         try:
-            for s in (sink, error_sink):
+            for s in (source, sink, error_sink):
                 if s is not None:
                     s.open(runtime)
                     opened.append(s)
+            opened.sort(key=lambda s: (s is error_sink, s is source))  # the order of closing
+            if reporter is not None:
+                known = source.total(spark) if callable(source.total) else source.total
+                watch = Watch(reporter, tuple(spark.sparkContext.accumulator(0) for _ in range(3)), known).__enter__()
             if self._all_native(source, sink):
                 self._run_native(spark, source, sink, runtime, stats)
             else:
-                rows, came = self.plan(spark, source, sink.encode(), runtime, sharding, one)
-                once = isinstance(sink, JsonlSink) and errors != "raise" and error_sink is None and not (ordered and sink.splits(runtime))
+                rows, native = self.plan(spark, source, sink.encode(), runtime, sharding, one, errors != "skip", watch and watch.tally)
+                # A sink of one file is one task's work: it copies results that all tasks have made.
+                once = isinstance(sink, JsonlSink) and errors != "raise" and error_sink is None and sink.splits(runtime) and not ordered
                 if not once:
-                    scratch = _scratch(spark)
+                    scratch = files.scratch(spark)
                     rows.write.parquet(scratch)
                     rows = spark.read.schema(STATUS).parquet(scratch)
-                self._deliver(rows, once, sink, error_sink, errors, runtime, ordered, stats, came)
+                self._deliver(rows, once, sink, error_sink, errors, runtime, ordered, stats, source.native(spark, runtime) if native else None)
         except BaseException as e:
             raised = e
             raise
         finally:
             if scratch:
-                _remove(spark, scratch)
+                files.delete(scratch)
             for s in opened:
                 try:
                     s.close()
@@ -156,9 +168,12 @@ class Pipeline:
                         raise
                     log.exception("closing %s failed after another error", type(s).__name__)
             stats.elapsed_seconds, stats.records_per_second = clock.read(stats.completed_records)
-            if progress_reporter is not None:
-                progress_reporter.update(ProgressSnapshot(stats.completed_records, stats.output_records, stats.dropped_records, 0, 0, stats.failed_records, stats.completed_records))
-                progress_reporter.close()
+            if watch is not None:
+                watch.end()
+                new = max(0, stats.completed_records - watch.told)
+                with contextlib.suppress(Exception):  # a reporter's failure is no run's
+                    reporter.update(new, ProgressSnapshot(stats.completed_records, stats.output_records, stats.dropped_records, 0, 0, stats.failed_records, stats.completed_records))
+                    reporter.close()
         return stats
 
     def _all_native(self, source: Source, sink: Sink) -> bool:
@@ -186,16 +201,13 @@ class Pipeline:
         seen = Observation()
         counts = [F.count(F.lit(1)).alias("n")] + [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "dropped", "error", "sink")]
         watched = rows.observe(seen, *counts) if once else rows
-        into = isinstance(sink, JsonlSink) and sink.raw
         if errors == "return" and error_sink is None:
-            wrap = F.udf(_payload_raw if into else _payload_line if isinstance(sink, JsonlSink) else _payload_pickled, "binary")
-            written = watched.where("status in ('ok', 'error')").select("seq", F.when(F.col("status") == "ok", F.col("value")).otherwise(wrap("error")).alias("value"))
+            written = watched.where("status in ('ok', 'error')").select("seq", F.when(F.col("status") == "ok", F.col("value")).otherwise(_wrapped(sink)).alias("value"))
         else:
             written = watched.where("status = 'ok'").select("seq", "value")
         sink.write_rows(written, runtime, ordered)
         if error_sink is not None and errors == "return":
-            wrap = F.udf(_payload_raw if isinstance(error_sink, JsonlSink) and error_sink.raw else _payload_line if isinstance(error_sink, JsonlSink) else _payload_pickled, "binary")
-            error_sink.write_rows(rows.where("status = 'error'").select("seq", wrap("error").alias("value")), runtime, ordered)
+            error_sink.write_rows(rows.where("status = 'error'").select("seq", _wrapped(error_sink).alias("value")), runtime, ordered)
         got = seen.get if once else rows.agg(*counts).first().asDict()
         stats.completed_records = stats.input_records = got["n"] + (first is not None)
         stats.dropped_records, stats.failed_records = got["dropped"], got["error"] + (first is not None)
@@ -214,8 +226,11 @@ class Pipeline:
             raise StageExecutionError(p["stage_name"], p["seq"], remote) from remote
 
 
-def _payload_line(text):
-    return json.dumps(json.loads(text)).encode() if text else None
+def _wrapped(sink: Sink) -> Column:
+    """The payload in ``error`` as the sink's bytes. A payload is a JSON line already, so that most sinks need no Python."""
+    if not isinstance(sink, JsonlSink):
+        return F.udf(_payload_pickled, "binary", useArrow=True)("error")
+    return F.udf(_payload_raw, "binary", useArrow=True)("error") if sink.raw else F.col("error").cast("binary")
 
 
 def _payload_raw(text):
@@ -226,14 +241,9 @@ def _payload_pickled(text):
     return pickle.dumps(json.loads(text), protocol=5) if text else None
 
 
-def _scratch(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{top.rstrip('/')}/recordmill-{uuid.uuid4().hex}"
-
-
-def _remove(spark: SparkSession, uri: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def described(x: Any) -> str:
+    """What a log says of a source or sink."""
+    return f"{type(x).__name__}({getattr(x, 'path', '')})"
 
 
 def report(pipeline: Pipeline) -> list[dict[str, Any]]:

@@ -22,6 +22,10 @@ class Sharding:
     def column(self, rank: int, world: int, total: int | None) -> Column | None:
         return None
 
+    def position(self, rank: int, world: int, total: int | None) -> Column | None:
+        """The place of a record among those of its rank, if its number tells it."""
+        return None
+
 
 class NoSharding(Sharding):
     """Rank 0 has all."""
@@ -32,6 +36,9 @@ class NoSharding(Sharding):
     def column(self, rank: int, world: int, total: int | None) -> Column:
         return F.lit(rank == 0)
 
+    def position(self, rank: int, world: int, total: int | None) -> Column:
+        return F.col("seq")
+
 
 class ModuloSharding(Sharding):
     def owns(self, seq: int, value: Any, rank: int, world: int) -> bool:
@@ -40,6 +47,9 @@ class ModuloSharding(Sharding):
     def column(self, rank: int, world: int, total: int | None) -> Column:
         return F.pmod(F.col("seq"), F.lit(world)) == rank
 
+    def position(self, rank: int, world: int, total: int | None) -> Column:
+        return F.floor(F.col("seq") / world)
+
 
 class HashSharding(Sharding):
     """By the first eight bytes of a key's SHA-256. ``key`` is a function of the value, or a Column."""
@@ -88,6 +98,9 @@ class RangeSharding(Sharding):
         a, b = self.bounds(rank, world, total)
         return (F.col("seq") >= a) & (F.col("seq") < b)
 
+    def position(self, rank: int, world: int, total: int | None) -> Column:
+        return F.col("seq") - self.bounds(rank, world, total)[0]
+
 
 def default_sharding_for(runtime: RuntimeContext) -> Sharding:
     return NoSharding() if runtime.world_size == 1 else ModuloSharding()

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import re
-import shutil
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from recordmill.errors import SinkError
 from recordmill.model import RuntimeContext
 from recordmill.plans.program import json_line, raw_line
+from recordmill.sources import files as stored
 from recordmill.sources.base import JSONL_ENDINGS, Sink, Source, listed, numbered
 
 # Codecs by a file's ending.
@@ -42,7 +42,7 @@ class JsonlSource(Source):
         return listed(self.path, JSONL_ENDINGS)
 
     def physical(self, runtime: RuntimeContext) -> bool:
-        return runtime.world_size > 1 and Path(self.path).is_dir() and len(self.files()) > 1
+        return runtime.world_size > 1 and stored.is_dir(self.path) and len(self.files()) > 1
 
     def frame(self, spark: SparkSession, runtime: RuntimeContext) -> DataFrame:
         files = self.files()
@@ -52,8 +52,8 @@ class JsonlSource(Source):
                 return spark.createDataFrame([], "seq long, raw string")
         plain = self.encoding.lower().replace("_", "-") in ("utf-8", "utf8") and all(codec_of(f, self.compression) == codec_of(f, "auto") and not f.endswith(".zstd") for f in files)
         if plain:
-            place = {os.path.basename(f): k for k, f in enumerate(files)}
-            return numbered(spark.read.text(files), lambda p: place[os.path.basename(_local(p))]).select("seq", F.col("value").alias("raw"))
+            place = {stored.base(f): k for k, f in enumerate(files)}
+            return numbered(spark.read.text(files), lambda p: place[stored.base(p)]).select("seq", F.col("value").alias("raw"), "_split")
         return self._decoded(spark, files)
 
     def _decoded(self, spark: SparkSession, files: list[str]) -> DataFrame:
@@ -63,9 +63,7 @@ class JsonlSource(Source):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for k, path, codec in zip(*(c.to_pylist() for c in b.columns)):
-                    with pa.OSFile(path) as f, (pa.CompressedInputStream(f, codec) if codec else f) as stream:
-                        import io
-
+                    with stored.opened(path, "rb") as f, (pa.CompressedInputStream(f, codec) if codec else f) as stream:
                         lines, n = [], 0
                         for line in io.TextIOWrapper(stream, encoding=encoding):
                             lines.append(line.removesuffix("\n"))
@@ -103,12 +101,6 @@ class _Loads:
         return self.loads(row[0])
 
 
-def _local(uri: str) -> str:
-    from urllib.parse import unquote, urlparse
-
-    return unquote(urlparse(uri).path)
-
-
 class _Dumps:
     def __init__(self, dumps: Callable[[Any], str]) -> None:
         self.dumps = dumps
@@ -137,22 +129,20 @@ class JsonlSink(Sink):
         self.is_open = False
 
     def _is_dir(self) -> bool:
-        p = Path(self.path)
-        return p.is_dir() or self.path.endswith("/") or not re.search(r"\.\w+$", p.name)
+        return stored.is_dir(self.path) or self.path.endswith("/") or not re.search(r"\.\w+$", stored.base(self.path))
 
     def splits(self, runtime: RuntimeContext) -> bool:
         """Whether each task writes a file of its own."""
         return self._is_dir() and runtime.world_size == 1
 
-    def target(self, part: int, runtime: RuntimeContext) -> Path:
-        p = Path(self.path)
+    def target(self, part: int, runtime: RuntimeContext) -> str:
         if self._is_dir():
             ending = {"gzip": ".gz", "zstd": ".zst"}.get(codec_of("", self.compression) or "", "")
-            return p / f"part-{part:05d}.jsonl{ending}"
+            return stored.join(self.path, f"part-{part:05d}.jsonl{ending}")
         if runtime.world_size == 1:
-            return p
-        stem, _, ending = p.name.partition(".")
-        return p.with_name(f"{stem}.part-{runtime.rank:05d}.{ending}")
+            return self.path
+        stem, _, ending = stored.base(self.path).partition(".")
+        return stored.join(stored.parent(self.path), f"{stem}.part-{runtime.rank:05d}.{ending}")
 
     def write_rows(self, rows: DataFrame, runtime: RuntimeContext, ordered: bool) -> None:
         if not self.is_open:
@@ -163,16 +153,15 @@ class JsonlSink(Sink):
         else:
             rows = rows.coalesce(1).sortWithinPartitions("seq") if ordered else rows.coalesce(1)
         first = self.target(runtime.rank if self._is_dir() else 0, runtime)
-        first.parent.mkdir(parents=True, exist_ok=True)
-        hidden, encoding, codec = first.parent / f".{uuid.uuid4().hex}", self.encoding, codec_of(str(first), self.compression)
-        hidden.mkdir()
+        hidden, encoding, codec = stored.join(stored.parent(first), f".{uuid.uuid4().hex}"), self.encoding, codec_of(first, self.compression)
+        stored.make_dir(hidden)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task = TaskContext.get()
-            path, n, out, plain = hidden / f"{uuid.uuid4().hex}", 0, None, None
+            path, n, out, plain = stored.join(hidden, uuid.uuid4().hex), 0, None, None
             for b in batches:
                 if out is None:
-                    plain = pa.OSFile(str(path), "wb")
+                    plain = stored.opened(path, "wb")
                     out = pa.CompressedOutputStream(plain, codec) if codec else plain
                 lines = b.column(1).to_pylist()
                 data = b"".join(x + b"\n" for x in lines)
@@ -181,14 +170,14 @@ class JsonlSink(Sink):
             if out is not None:
                 out.close()
                 plain.close()
-                yield pa.RecordBatch.from_arrays([pa.array([task.partitionId() if task else 0], pa.int64()), pa.array([str(path)]), pa.array([n], pa.int64())], ["part", "path", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([task.partitionId() if task else 0], pa.int64()), pa.array([path]), pa.array([n], pa.int64())], ["part", "path", "n"])
 
         try:
             done = sorted((r["part"], r["path"]) for r in rows.select("seq", "value").mapInArrow(run, "part long, path string, n long").collect())  # a row a file
             if not done:
-                (hidden / "none").touch()
-                done = [(0, str(hidden / "none"))]
+                done = [(0, stored.join(hidden, "none"))]
+                stored.opened(done[0][1], "wb").close()
             for k, (_, path) in enumerate(done):
-                os.replace(path, self.target(k, runtime) if many else first)
+                stored.replace(path, self.target(k, runtime) if many else first)
         finally:
-            shutil.rmtree(hidden, ignore_errors=True)
+            stored.delete(hidden)

@@ -3,16 +3,65 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordmill.model import RuntimeContext, SourceRecordError
 from recordmill.plans.program import pickled
 from recordmill.sources.base import Sink, Source
-
-CHUNK = 10_000
+from recordmill.sources.files import scratch
+
+#: Records, and bytes of them, that the driver holds; beyond them they go to the scratch folder as they come.
+HELD, HELD_BYTES = 100_000, 64 << 20
+_SCHEMA = pa.schema([("seq", pa.int64()), ("value", pa.binary())])
+
+
+def _counted(items: Iterable[Any]) -> Iterator[tuple[int, bytes]]:
+    it, seq = iter(items), 0
+    while True:
+        try:
+            x = next(it)
+        except StopIteration:
+            return
+        except SourceRecordError as bad:  # the source says so itself, and ends
+            yield seq, pickled(SourceRecordError(bad.error, bad.metadata))
+            return
+        yield seq, pickled(x)
+        seq += 1
+
+
+def held(spark: SparkSession, items: Iterable[Any]) -> DataFrame:
+    """``seq`` and ``value`` (pickled) of what an iterable gives, read through once, on the driver.
+
+    A SourceRecordError that it gives is a bad record; one that it raises is its last. Many records are written as they
+    come, so that the driver holds ``HELD`` of them at most.
+    """
+    seqs, values, size, path = [], [], 0, None
+
+    def frame() -> DataFrame:
+        return spark.createDataFrame(pa.table([seqs, values], schema=_SCHEMA))
+
+    for seq, value in _counted(items):
+        seqs.append(seq)
+        values.append(value)
+        size += len(value)
+        if len(seqs) == HELD or size >= HELD_BYTES:
+            path = path or scratch(spark)
+            frame().write.mode("append").parquet(path)
+            seqs, values, size = [], [], 0
+    if path is None:
+        return frame()
+    if seqs:
+        frame().write.mode("append").parquet(path)
+    return spark.read.schema("seq long, value binary").parquet(path).withColumn("_split", F.xxhash64("_metadata.file_path"))
+
+
+def unpickled(row: tuple) -> Any:
+    return pickle.loads(row[0])
 
 
 class IterableSource(Source):
@@ -21,38 +70,12 @@ class IterableSource(Source):
     def __init__(self, iterable: Iterable[Any]) -> None:
         self.iterable = iterable
 
+    def __iter__(self) -> Iterator[Any]:
+        return iter(self.iterable)
+
     def total(self, spark: SparkSession | None = None) -> int | None:
         return len(self.iterable) if isinstance(self.iterable, (list, tuple, range, set, frozenset)) else None
 
-    def frame(self, spark: SparkSession, runtime: RuntimeContext) -> DataFrame:
-        parts, chunk, seq = [], [], 0
-        it = iter(self.iterable)
-        while True:
-            try:
-                x = next(it)
-            except StopIteration:
-                break
-            except SourceRecordError as bad:  # the source says so itself, and ends
-                chunk.append((seq, pickled(SourceRecordError(bad.error, bad.metadata))))
-                break
-            chunk.append((seq, pickled(x)))
-            seq += 1
-            if len(chunk) == CHUNK:
-                parts.append(spark.createDataFrame(chunk, "seq long, value binary"))
-                chunk = []
-        parts.append(spark.createDataFrame(chunk, "seq long, value binary"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        return out
-
-    def decode(self, columns: list[str]) -> Callable[[tuple], Any]:
-        return _unpickled
-
-
-def _unpickled(row: tuple) -> Any:
-    return pickle.loads(row[0])
-
 
 class CallableSink(Sink):
     """Calls a function with each record, on the driver, a partition in memory at a time."""

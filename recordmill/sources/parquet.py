@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Sequence
 from functools import reduce
-from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
@@ -17,7 +15,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from recordmill.errors import ParquetError, SinkError, SourceError
 from recordmill.model import RuntimeContext
 from recordmill.plans.program import pickled
-from recordmill.sources.base import Sink, Source, numbered
+from recordmill.sources import files as stored
+from recordmill.sources.base import Sink, Source, numbered, numbered_by_index
 
 OPS: dict[str, Callable[[Column, Any], Column]] = {
     "==": lambda c, v: c == v, "!=": lambda c, v: c != v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v,
@@ -58,8 +57,10 @@ class ParquetSource(Source):
         self.path, self.columns, self.filters, self.batch_size = str(path), list(columns) if columns is not None else None, condition(filters), batch_size
 
     def files(self) -> list[str]:
-        p = Path(self.path)
-        found = sorted(str(x) for x in p.rglob("*.parquet") if not x.name.startswith((".", "_"))) if p.is_dir() else [str(p)] if p.exists() else []
+        if stored.is_dir(self.path):
+            found = sorted(x for x in stored.listed(self.path, deep=True) if x.endswith(".parquet") and not stored.base(x).startswith((".", "_")))
+        else:
+            found = [self.path] if stored.exists(self.path) else []
         if not found:
             raise SourceError(f"no Parquet files at {self.path}")
         return found
@@ -71,12 +72,12 @@ class ParquetSource(Source):
         if runtime.world_size == 1:
             return spark.read.parquet(self.path)
         files = self.files()
-        reader = spark.read.option("basePath", self.path) if Path(self.path).is_dir() else spark.read
-        if Path(self.path).is_dir():
+        reader = spark.read.option("basePath", self.path) if stored.is_dir(self.path) else spark.read
+        if stored.is_dir(self.path):
             mine = files[runtime.rank :: runtime.world_size]
             return reader.parquet(*mine) if mine else reader.parquet(self.path).limit(0)
         df, at, keep = reader.parquet(files[0]), 0, []
-        meta = pq.ParquetFile(files[0]).metadata
+        meta = _footer(files[0])
         for k in range(meta.num_row_groups):
             n = meta.row_group(k).num_rows
             if k % runtime.world_size == runtime.rank:
@@ -93,16 +94,16 @@ class ParquetSource(Source):
         return df.select(*self.columns) if self.columns is not None else df
 
     def frame(self, spark: SparkSession, runtime: RuntimeContext) -> DataFrame:
+        """Filters come before numbers, so they reach the scan; without any, numbers are the files' own, and later filters do."""
         scan = self._scan(spark, runtime)
         names = self.columns if self.columns is not None else scan.columns
+        whole = self.filters is None and (runtime.world_size == 1 or stored.is_dir(self.path))
+        if self.filters is not None:
+            scan = scan.filter(self.filters)
         if "seq" in names:
             scan = scan.withColumnRenamed("seq", "__seq")
-        out = numbered(scan, lambda p: p)
-        if self.filters is not None:
-            from recordmill.sources.base import renumbered
-
-            out = renumbered(out.filter(self.filters))
-        return out.select("seq", *(f"`{'__seq' if n == 'seq' else n}`" for n in names))
+        out = (numbered_by_index if whole else numbered)(scan, lambda p: p)
+        return out.select("seq", *(f"`{'__seq' if n == 'seq' else n}`" for n in names), "_split")
 
     def decode(self, columns: list[str]) -> Callable[[tuple], Any]:
         return _Row(["seq" if c == "__seq" else c for c in columns])
@@ -110,17 +111,22 @@ class ParquetSource(Source):
     def total(self, spark: SparkSession | None = None, runtime: RuntimeContext | None = None) -> int | None:
         """Rows by the footers, this rank's share if there are many; unknown if filtered as well."""
         runtime = runtime or RuntimeContext()
+        files = self.files()
         if runtime.world_size == 1:
-            return sum(pq.ParquetFile(f).metadata.num_rows for f in self.files())
+            return sum(_footer(f).num_rows for f in files)
         if self.filters is not None:
             return None
-        files = self.files()
-        if Path(self.path).is_dir():
-            return sum(pq.ParquetFile(f).metadata.num_rows for f in files[runtime.rank :: runtime.world_size])
-        meta = pq.ParquetFile(files[0]).metadata
+        if stored.is_dir(self.path):
+            return sum(_footer(f).num_rows for f in files[runtime.rank :: runtime.world_size])
+        meta = _footer(files[0])
         return sum(meta.row_group(k).num_rows for k in range(runtime.rank, meta.num_row_groups, runtime.world_size))
 
 
+def _footer(path: str) -> pq.FileMetaData:
+    with stored.opened(path, "rb") as f:
+        return pq.ParquetFile(f).metadata
+
+
 class _Row:
     def __init__(self, names: list[str]) -> None:
         self.names = names
@@ -130,9 +136,12 @@ class _Row:
 
 
 class ParquetSink(Sink):
-    """Dict records as Parquet, with the given schema or that of the first records. Values that don't fit are an error."""
+    """Dict records as Parquet, with the given schema or that of the first records. Values that don't fit are an error.
 
-    def __init__(self, path: str, *, schema: pa.Schema | None = None, batch_size: int = 4096, compression: str = "zstd", **options: Any) -> None:
+    With ``batch_size``, a row group has so many rows at most. Without a schema and a record, a file has no columns.
+    """
+
+    def __init__(self, path: str, *, schema: pa.Schema | None = None, batch_size: int | None = None, compression: str = "zstd", **options: Any) -> None:
         self.path, self.schema, self.batch_size, self.compression, self.options = str(path), schema, batch_size, compression, options
         self.is_open = False
 
@@ -145,11 +154,11 @@ class ParquetSink(Sink):
     def close(self) -> None:
         self.is_open = False
 
-    def target(self, runtime: RuntimeContext) -> Path:
-        p = Path(self.path)
-        if p.is_dir() or self.path.endswith("/"):
-            return p
-        return p if runtime.world_size == 1 else p.with_name(f"{p.stem}.part-{runtime.rank:05d}{p.suffix}")
+    def target(self, runtime: RuntimeContext) -> str:
+        if stored.is_dir(self.path) or self.path.endswith("/") or runtime.world_size == 1:
+            return self.path
+        stem, dot, ending = stored.base(self.path).rpartition(".")
+        return stored.join(stored.parent(self.path), f"{stem}.part-{runtime.rank:05d}{dot}{ending}")
 
     def write_rows(self, rows: DataFrame, runtime: RuntimeContext, ordered: bool) -> None:
         import pickle
@@ -160,7 +169,11 @@ class ParquetSink(Sink):
         if schema is None:
             first = [pickle.loads(r["value"]) for r in rows.orderBy("seq").limit(INFERRED).collect()]
             schema = pa.Table.from_pylist(first).schema if first else pa.schema([])
-        if not len(schema):
+        target = self.target(runtime)
+        if not len(schema):  # no record, so nothing to infer from
+            if target.endswith(".parquet") and not stored.is_dir(target):
+                with stored.opened(target, "wb") as f:
+                    pq.write_table(schema.empty_table(), f)
             return
         rows = rows.repartitionByRange("seq").sortWithinPartitions("seq") if ordered else rows
 
@@ -178,13 +191,14 @@ class ParquetSink(Sink):
     def write_native(self, df: DataFrame, runtime: RuntimeContext) -> None:
         """A DataFrame of typed columns; no Python in between. A file's name gets one file, a directory as many as there are tasks."""
         target = self.target(runtime)
-        if target.suffix == ".parquet":
-            folder = target.with_name(f".{target.name}.parts")
-            df.coalesce(1).write.mode("overwrite").option("compression", self.compression).parquet(str(folder))
-            (part,) = folder.glob("part-*.parquet")
-            os.replace(part, target)
-            import shutil
-
-            shutil.rmtree(folder)
+        options = {k: str(v) for k, v in self.options.items()} | ({"parquet.block.row.count.limit": str(self.batch_size)} if self.batch_size else {})
+        if target.endswith(".parquet") and not stored.is_dir(target):
+            folder = stored.join(stored.parent(target), f".{stored.base(target)}.parts")
+            try:
+                df.coalesce(1).write.mode("overwrite").option("compression", self.compression).options(**options).parquet(folder)
+                (part,) = (x for x in stored.listed(folder) if x.endswith(".parquet"))
+                stored.replace(part, target)
+            finally:
+                stored.delete(folder)
         else:
-            df.write.mode("append").option("compression", self.compression).options(**{k: str(v) for k, v in self.options.items()}).parquet(str(target))
+            df.write.mode("append").option("compression", self.compression).options(**options).parquet(target)

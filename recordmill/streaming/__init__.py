@@ -26,11 +26,19 @@ def stream_results(spark: SparkSession, path: str, pipeline: Pipeline | list[Sta
 
 
 def write_lines(results: DataFrame, out: str, checkpoint: str, *, errors: str | None = None) -> Any:
-    """Starts a query that appends good results to ``out`` as lines, and payloads of errors to ``errors``."""
+    """Starts a query that writes good results to ``out`` as lines, and payloads of errors to ``errors``.
 
-    def batch(rows: DataFrame, _: int) -> None:
-        rows.where("status = 'ok'").select(F.col("value").cast("string")).write.mode("append").text(out)
-        if errors:
-            rows.where("status = 'error'").select("error").write.mode("append").text(errors)
+    Each batch has a folder of its own, ``batch=N``, that a repeated batch writes anew: no line comes twice. The program
+    runs once a batch, whether errors are written or not.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.persist()
+        try:
+            rows.where("status = 'ok'").select(F.col("value").cast("string")).write.mode("overwrite").text(f"{out}/batch={number}")
+            if errors:
+                rows.where("status = 'error'").select("error").write.mode("overwrite").text(f"{errors}/batch={number}")
+        finally:
+            rows.unpersist()
 
     return results.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -68,7 +68,7 @@ class ToolContract:
         if self.cardinality != "one_to_one":
             what = "isn't built yet" if self.cardinality in CARDINALITIES else "isn't known"
             raise ToolDefinitionError(f"cardinality {self.cardinality!r} {what}")
-        if len(self.description) > 2048 or any(ord(c) < 32 and c not in "\n\t" for c in self.description):
+        if len(self.description) > 2048 or any((ord(c) < 32 or ord(c) == 127) and c not in "\n\t" for c in self.description):
             raise ToolDefinitionError("a description has at most 2048 characters and no control characters")
 
     def to_json(self) -> dict[str, Any]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import json
+import os
 import subprocess
 import sys
 from collections.abc import Callable
@@ -97,6 +98,33 @@ print("\\n" + json.dumps({"tools": out, "failed": run_examples(found)}))
 """
 
 
+_SPAWNED = """
+import json, sys
+from recordmill.tools.provider import Descriptor, load
+import hashlib
+source = sys.stdin.buffer.read()
+names = json.loads(sys.argv[1])
+for n in names:
+    load(Descriptor("probe", n, hashlib.sha256(source).hexdigest(), source))
+print("\\n" + json.dumps(names))
+"""
+#: What a provider's process sees of the environment.
+KEPT = ("PATH", "HOME", "LANG", "LC_ALL", "TMPDIR", "LD_LIBRARY_PATH", "VIRTUAL_ENV")
+
+
+def _alone(program: str, source: bytes, path: str | Path, *arguments: str) -> Any:
+    """What a program says last, as JSON, in a process of its own that gets the bytes and little of the environment."""
+    root = str(Path(__file__).parents[2])
+    env = {k: os.environ[k] for k in KEPT if k in os.environ} | {"PYTHONPATH": os.pathsep.join(filter(None, (root, os.environ.get("PYTHONPATH")))), "PYTHONDONTWRITEBYTECODE": "1"}
+    try:
+        done = subprocess.run([sys.executable, "-c", program, *arguments], input=source, capture_output=True, timeout=IMPORT_SECONDS, cwd=root, env=env)
+    except subprocess.TimeoutExpired:
+        raise ProviderError(f"{path} took more than {IMPORT_SECONDS} s to import") from None
+    if done.returncode:
+        raise ProviderError(f"{path} can't be imported: {done.stderr.decode(errors='replace').strip().splitlines()[-1:]}")
+    return json.loads(done.stdout.decode().strip().splitlines()[-1])
+
+
 def run_examples(found: dict[str, Callable]) -> list[str]:
     """What is wrong with the examples of each tool; equality tells a bool from an int."""
     wrong = []
@@ -118,17 +146,15 @@ def run_examples(found: dict[str, Callable]) -> list[str]:
 
 
 def check(path: str | Path) -> tuple[bytes, list[ToolContract]]:
-    """All checks: statically, by import and examples in a process of its own, and one against the other."""
+    """All checks: statically, by import and examples in a process of its own, one against the other, and by loading as workers do."""
     source, declared = check_statically(path)
-    try:
-        done = subprocess.run([sys.executable, "-c", _PROBE], input=source, capture_output=True, timeout=IMPORT_SECONDS, cwd=Path(__file__).parents[2])
-    except subprocess.TimeoutExpired:
-        raise ProviderError(f"{path} took more than {IMPORT_SECONDS} s to import") from None
-    if done.returncode:
-        raise ProviderError(f"{path} can't be imported: {done.stderr.decode(errors='replace').strip().splitlines()[-1:]}")
-    said = json.loads(done.stdout.decode().strip().splitlines()[-1])
+    said = _alone(_PROBE, source, path)
     if missing := set(declared) - {t["name"] for t in said["tools"]}:
         raise ProviderError(f"declared but not there when imported: {sorted(missing)}")
     if said["failed"]:
         raise ProviderError("; ".join(said["failed"]))
+    # A worker loads tools by name from the bytes, in a fresh process: so does this.
+    names = [t["name"] for t in said["tools"]]
+    if _alone(_SPAWNED, source, path, json.dumps(names)) != names:
+        raise ProviderError(f"{path} gives other tools when it is loaded again")
     return source, [ToolContract.from_json(t) for t in said["tools"]]

@@ -30,7 +30,11 @@ class Installed:
     tools: tuple[ToolContract, ...]
 
     def descriptor(self, tool_name: str) -> Descriptor:
-        return Descriptor(self.provider_id, tool_name, self.digest, Path(self.path).read_bytes())
+        try:
+            source = Path(self.path).read_bytes()
+        except OSError as e:
+            raise ProviderError(f"the file of provider {self.provider_id!r} can't be read: {e}") from None
+        return Descriptor(self.provider_id, tool_name, self.digest, source)
 
 
 @dataclass(frozen=True)
@@ -40,7 +44,13 @@ class Resolved:
     provider_id: str
     contract: ToolContract
     function: Callable | None = None
-    descriptor: Descriptor | None = None
+    installed: Installed | None = None
+    pinned: Descriptor | None = None
+
+    @property
+    def descriptor(self) -> Descriptor | None:
+        """Where workers get the tool from; a provider's file is read only now, when the tool is asked for."""
+        return self.pinned or (self.installed.descriptor(self.contract.name) if self.installed else None)
 
 
 def default_home() -> Path:
@@ -91,17 +101,29 @@ class Registry:
         digest = hashlib.sha256(source).hexdigest()
         if confirm and not confirm(f"install {provider_id} ({', '.join(t.name for t in tools)}) with digest {digest[:12]}? Its code will run with your rights."):
             raise ProviderError("not confirmed")
-        with self._locked() as entries:
-            if provider_id in entries and not force:
-                raise ProviderError(f"provider {provider_id!r} is installed already")
-            if any(k != provider_id and v["alias"] == alias for k, v in entries.items()):
-                raise ProviderError(f"alias {alias!r} is taken")
-            place = path
-            if not editable:
-                place = self.home / "providers" / provider_id / f"{digest[:16]}.py"
-                place.parent.mkdir(parents=True, exist_ok=True)
-                place.write_bytes(source)
-            entries[provider_id] = {"alias": alias, "digest": digest, "path": str(place), "editable": editable, "tools": [t.to_json() for t in tools]}
+        place, was_there, before = path, True, None
+        try:
+            with self._locked() as entries:
+                before = entries.get(provider_id)
+                if before and not force:
+                    raise ProviderError(f"provider {provider_id!r} is installed already")
+                if any(k != provider_id and v["alias"] == alias for k, v in entries.items()):
+                    raise ProviderError(f"alias {alias!r} is taken")
+                if not editable:
+                    place = self.home / "providers" / provider_id / f"{digest[:16]}.py"
+                    was_there = place.exists()
+                    place.parent.mkdir(parents=True, exist_ok=True)
+                    fd, name = tempfile.mkstemp(dir=place.parent)
+                    with os.fdopen(fd, "wb") as f:
+                        f.write(source)
+                    os.replace(name, place)
+                entries[provider_id] = {"alias": alias, "digest": digest, "path": str(place), "editable": editable, "tools": [t.to_json() for t in tools]}
+        except BaseException:  # the copy that was there before stays, and so does its entry
+            if not was_there:
+                place.unlink(missing_ok=True)
+            raise
+        if before and not before["editable"] and before["path"] != str(place):
+            Path(before["path"]).unlink(missing_ok=True)
         return next(p for p in self.providers() if p.provider_id == provider_id)
 
     def remove(self, provider_id: str) -> None:
@@ -118,4 +140,4 @@ class Registry:
         for p, t in out.values():
             plain.setdefault(t.name, []).append((p, t))
         out |= {n: x[0] for n, x in plain.items() if len(x) == 1 and n not in BUILTINS}
-        return {n: Resolved(p.provider_id, t, descriptor=p.descriptor(t.name)) for n, (p, t) in out.items()} | {n: Resolved("builtin", contract_of(f), function=f) for n, f in BUILTINS.items()}
+        return {n: Resolved(p.provider_id, t, installed=p) for n, (p, t) in out.items()} | {n: Resolved("builtin", contract_of(f), function=f) for n, f in BUILTINS.items()}

@@ -162,12 +162,12 @@ def test_stages_are_fused_into_one_boundary(spark):
     assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
-def test_sinks(spark):
+def test_sinks(spark, tmp_path):
     seen = []
     run(spark, [lambda x: x], range(4), CallableSink(seen.append))
     assert seen == [0, 1, 2, 3]
     with pytest.raises(SinkError):
-        run(spark, [lambda x: {1, 2}], range(2), JsonlSink("/tmp/recordmill-test.jsonl"))
+        run(spark, [lambda x: {1, 2}], range(2), JsonlSink(str(tmp_path / "x.jsonl")))
 
 
 def test_runtime(monkeypatch):
