@@ -12,6 +12,7 @@ from recordmill import (
 )
 from recordmill import cli, model
 from recordmill.errors import ParquetError, PipelineValidationError, RuntimeDetectionError, ShardingError, SinkError, SourceError, StageExecutionError
+from recordmill.sources.base import Source
 from recordmill.streaming import stream_results, write_lines
 from recordmill.tools.provider import ProviderError
 from recordmill.tools.registry import Registry
@@ -258,3 +259,149 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination()
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a": 1}']
     assert spark.read.text(str(tmp_path / "err")).count() == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_of_pipelines_reach_the_scan(spark):
+    source = ParquetSource("/root/testdata/sf0.001/orders.parquet", columns=["o_orderkey"], filters=("o_totalprice", ">", 1000.0))
+    assert "GreaterThan(o_totalprice,1000.0)" in plan_of(Pipeline([lambda r: r]).results(spark, source))
+    plain = ParquetSource("/root/testdata/sf0.001/orders.parquet", columns=["o_orderkey", "o_totalprice"])
+    plan = plan_of(Pipeline([FilterStage(F.col("o_totalprice") > 1000.0), lambda r: r]).results(spark, plain))
+    assert "GreaterThan(o_totalprice,1000.0)" in plan and "o_orderstatus" not in plan
+
+
+@pytest.mark.parametrize("how", [ModuloSharding(), RangeSharding(200), HashSharding(lambda x: str(x["i"]))])
+def test_shards_shuffle_no_records(spark, tmp_path, how):
+    path = lines(tmp_path / "a.jsonl", [json.dumps({"i": i}) for i in range(200)])
+    plan = plan_of(Pipeline([lambda r: r]).results(spark, path, runtime=RuntimeContext(1, 3), sharding=how))
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_numbers_count_after_filters(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for k in range(3):
+        pq.write_table(pa.table({"id": range(100 * k, 100 * k + 100)}), str(tmp_path / "d" / f"{k}.parquet"), row_group_size=10)
+    rows = Pipeline([lambda r: r["id"]]).results(spark, ParquetSource(str(tmp_path / "d"), filters=("id", "in", [5, 150, 299, 7])))
+    assert sorted((r.seq, int(r.value)) for r in rows.collect()) == [(0, 5), (1, 7), (2, 150), (3, 299)]
+    rows = Pipeline([FilterStage(F.col("id") % 100 == 1), lambda r: r["id"]]).results(spark, ParquetSource(str(tmp_path / "d")))
+    assert sorted((r.seq, int(r.value)) for r in rows.collect()) == [(1, 1), (101, 101), (201, 201)]
+    got = []
+    for rank in range(4):
+        _, part = run(spark, [lambda x: x], range(40), runtime=RuntimeContext(rank, 4), sharding=HashSharding(lambda x: x))
+        rows = Pipeline([lambda x: x]).results(spark, range(40), runtime=RuntimeContext(rank, 4), sharding=HashSharding(lambda x: x)).collect()
+        assert [int(r.value) for r in sorted(rows)] == part and [r.seq for r in sorted(rows)] == list(range(len(part)))
+        got += part
+    assert sorted(got) == list(range(40))
+
+
+def test_many_records_of_an_iterable_go_to_scratch(spark, monkeypatch):
+    from recordmill.sources import local
+
+    monkeypatch.setattr(local, "HELD", 10)
+    assert run(spark, [lambda x: x], (x for x in range(95)))[1] == list(range(95))
+    parts = [run(spark, [lambda x: x], range(95), runtime=RuntimeContext(r, 3), sharding=HashSharding(lambda x: x))[1] for r in range(3)]
+    assert sorted(sum(parts, [])) == list(range(95)) and all(p == sorted(p) for p in parts)
+
+
+def test_uris(spark, tmp_path):
+    place = f"file://{tmp_path}"
+    rows = [{"i": i} for i in range(20)]
+    run(spark, [lambda r: r], rows, JsonlSink(f"{place}/x.jsonl.gz"))
+    assert run(spark, [lambda r: r], f"{place}/x.jsonl.gz")[1] == rows
+    run(spark, [lambda r: r], rows, ParquetSink(f"{place}/x.parquet"))
+    assert ParquetSource(f"{place}/x.parquet").total() == 20 and list(ParquetSource(f"{place}/x.parquet")) == rows
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.away.link./in", place)
+    assert run(spark, [lambda r: r["i"]], ParquetSource("viewfs://away/in/x.parquet"))[1] == list(range(20))
+    run(spark, [lambda r: r], rows, JsonlSink(f"{place}/d/"))
+    assert run(spark, [lambda r: r], JsonlSource("viewfs://away/in/d"))[1] == rows
+
+
+def test_a_sink_of_one_file_has_its_records_made_by_many_tasks(spark, tmp_path):
+    source = lines(tmp_path / "a.jsonl", [json.dumps({"i": i}) for i in range(100)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+
+        def where(r, context):
+            return {"task": context.worker_id, "bad": 1 // (r["i"] % 10)}
+
+        run(spark, [GenericStage(process=where, with_context=True)], source, JsonlSink(str(tmp_path / "b.jsonl")), errors="skip")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = [json.loads(x) for x in (tmp_path / "b.jsonl").read_text().splitlines()]
+    assert len(got) == 90 and len({r["task"] for r in got}) > 1
+
+
+def test_nothing_to_write(spark, tmp_path):
+    run(spark, [FilterStage(lambda r: False)], [{"a": 1}], ParquetSink(str(tmp_path / "x.parquet")))
+    assert pq.read_table(tmp_path / "x.parquet").num_rows == 0
+    run(spark, [FilterStage(lambda r: False)], [{"a": 1}], JsonlSink(str(tmp_path / "x.jsonl")))
+    assert (tmp_path / "x.jsonl").read_text() == ""
+
+
+class Letters(Source):
+    """A source of one's own that is opened and closed."""
+
+    def __init__(self):
+        self.said = []
+
+    def open(self, runtime):
+        self.said.append("open")
+
+    def close(self):
+        self.said.append("close")
+
+    def __iter__(self):
+        yield from "abc"
+        raise SourceRecordError(ValueError("torn"))
+
+
+def test_sources_of_ones_own(spark):
+    source = Letters()
+    stats, got = run(spark, [str.upper], source, errors="skip")
+    assert got == ["A", "B", "C"] and stats.failed_records == 1 and source.said == ["open", "close"]
+
+
+def test_streams_that_repeat_a_batch_write_it_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines(tmp_path / "in" / "a.jsonl", ['{"a": 1}', '{"a": 2}'])
+    results = stream_results(spark, str(tmp_path / "in"), Pipeline([lambda r: r]))
+    for k in range(2):  # a lost checkpoint makes the first batch come again
+        write_lines(results, str(tmp_path / "out"), str(tmp_path / f"cp{k}")).awaitTermination()
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"a": 1}', '{"a": 2}']
+
+
+def test_a_failed_install_leaves_what_was_there(tmp_path, monkeypatch):
+    import os
+
+    path = tmp_path / "mine.py"
+    path.write_text(PROVIDER)
+    registry = Registry(tmp_path / "home")
+    first = registry.install(path)
+    path.write_text(PROVIDER.replace("2 * value", "value + value"))
+    real = os.replace
+
+    def broken(a, b):
+        if str(b).endswith("registry.json"):
+            raise OSError("disk full")
+        real(a, b)
+
+    monkeypatch.setattr(os, "replace", broken)
+    with pytest.raises(OSError):
+        registry.install(path, force=True)
+    monkeypatch.undo()
+    assert registry.providers() == [first] and [p.name for p in (tmp_path / "home" / "providers" / "mine").iterdir()] == [f"{first.digest[:16]}.py"]
+    second = registry.install(path, force=True)
+    assert [p.name for p in (tmp_path / "home" / "providers" / "mine").iterdir()] == [f"{second.digest[:16]}.py"]
+
+
+def test_providers_see_little_of_the_environment(tmp_path, monkeypatch):
+    monkeypatch.setenv("A_SECRET", "x")
+    path = tmp_path / "mine.py"
+    path.write_text("import os\nassert 'A_SECRET' not in os.environ\n" + PROVIDER)
+    assert Registry(tmp_path / "home").install(path).tools[0].name == "double"
+    path.write_text("import os\nimport sys\nif 'Descriptor' in sys.modules['__main__'].__dict__: raise ValueError('spawned')\n" + PROVIDER)
+    with pytest.raises(ProviderError, match="imported"):
+        Registry(tmp_path / "other").install(path)
