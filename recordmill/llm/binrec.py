@@ -97,18 +97,20 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.bytes_of = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
         self.marks = {m: self._packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,;:!?"}
 
     def _packed(self, ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(self.width, "little") for i in ids)
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def _merged(self, word: str) -> bytes:
         found = self.letters.get(word)
         if found is None:
             text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-            found = self.letters[word] = self._packed([t.id for t in self.model.tokenize(text)])
+            known = self.bytes_of
+            found = self.letters[word] = b"".join([known[t.id] for t in self.model.tokenize(text)])
         return found
 
     def _learn(self, words: set[bytes]) -> None:
@@ -135,11 +137,10 @@ class WordIds:
             self.known.clear()
             self.letters.clear()
         words = [(t or "").encode().split() for t in texts]
-        out = [list(map(self.known.get, w)) for w in words]
-        if unknown := {x for w, ids in zip(words, out) if None in ids for x, i in zip(w, ids) if i is None}:
+        if unknown := set().union(*words).difference(self.known):
             self._learn(unknown)
-            out = [list(map(self.known.__getitem__, w)) if None in ids else ids for w, ids in zip(words, out)]
-        return list(map(b"".join, out))
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, w)) for w in words]
 
 
 #: A worker's words, by tokenizer; tasks that run in one worker share them.
