@@ -97,13 +97,14 @@ def lower_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: list[str], total: int | None = None) -> DataFrame:
     """``left`` with the columns of ``right``, which has one row a key at most; null where it has none.
 
     A key that holds over a ``HOT_SHARE``-th of ``left`` (a table) would be one task's work. There are at most ``HOT_SHARE``
     such keys, so their rows of ``right`` are broadcast and the rows of ``left`` stay where they are; all others are shuffled.
+    ``total`` is the number of rows of ``left``, or more, where it is known; they are counted otherwise.
     """
-    total = left.count()
+    total = left.count() if total is None else total
     hot = []
     if total > HOT_ROWS:
         most = max(total // HOT_SHARE, HOT_ROWS)
@@ -137,16 +138,16 @@ def components(edges: DataFrame) -> DataFrame:
         tree = table(links.groupBy("u").agg(F.min("v").alias("p")), n)
         while True:
             up = tree.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            jumped = table(lookup(tree, up, ["p"]).select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), n)
+            jumped = table(lookup(tree, up, ["p"], n).select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), n)
             old += [tree, jumped]
             tree = jumped.select("u", "p")
             if jumped.where("moved").isEmpty():
                 break
         roots = tree.select(F.col("u").alias("root"), F.col("p").alias("top"))
-        labels = table(lookup(labels, roots, ["root"]).select("node", F.coalesce("top", "root").alias("root")), many)
-        one = table(lookup(links, tree, ["u"]).select(F.col("p").alias("x"), "v"), n)
+        labels = table(lookup(labels, roots, ["root"], many).select("node", F.coalesce("top", "root").alias("root")), many)
+        one = table(lookup(links, tree, ["u"], n).select(F.col("p").alias("x"), "v"), n)
         old.append(one)
-        both = lookup(one, tree.select(F.col("u").alias("v"), "p"), ["v"]).select("x", F.coalesce("p", "v").alias("y"))
+        both = lookup(one, tree.select(F.col("u").alias("v"), "p"), ["v"], n).select("x", F.coalesce("p", "v").alias("y"))
         links = table(both.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), n)
         n = links.count()
         for t in old:
