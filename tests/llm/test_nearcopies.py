@@ -79,6 +79,7 @@ def test_tiles_of_large_buckets_equal_brute_force(spark, monkeypatch):
     """A group of which many pairs are near 0.8 and few links join all; tiles and streams of a few sets."""
     monkeypatch.setattr(nearcopies, "TILE", 4)
     monkeypatch.setattr(nearcopies, "STREAM", 16)
+    monkeypatch.setattr(nearcopies, "DEALT", 8)
     rng, texts = random.Random(8), {}
     base = [f"w{rng.getrandbits(30)}" for _ in range(150)]
     for k in range(150):
@@ -87,3 +88,14 @@ def test_tiles_of_large_buckets_equal_brute_force(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in nearcopies.grouped(frame).collect()}
     want = brute_groups(texts)
     assert got == want and 3 < len(set(want.values())) < 140
+
+
+def test_ranks_of_dealt_buckets_are_one_to_n(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "DEALT", 8)
+    sizes = {1: 3, 2: 8, 3: 9, 4: 200}
+    rows = [(key, 1000 * key + k, n) for key, n in sizes.items() for k in range(n)]
+    members = spark.createDataFrame(rows, "key long, rep long, n long")
+    got = nearcopies._ranked(members.where("key <> 2").selectExpr("*", "rep as root"), members).collect()
+    ranks = {key: sorted(r["rank"] for r in got if r.key == key) for key in sizes}
+    assert ranks == {key: [] if key == 2 else list(range(1, n + 1)) for key, n in sizes.items()}
+    assert sorted((r.key, r.rep) for r in got) == sorted((k, rep) for k, rep, _ in rows if k != 2)
