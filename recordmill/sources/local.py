@@ -17,6 +17,8 @@ from recordmill.sources.files import scratch
 
 #: Records, and bytes of them, that the driver holds; beyond them they go to the scratch folder as they come.
 HELD, HELD_BYTES = 100_000, 64 << 20
+#: Records, and bytes of them, that a sink on the driver fetches at once, about.
+FETCHED, FETCHED_BYTES = 100_000, 8 << 20
 _SCHEMA = pa.schema([("seq", pa.int64()), ("value", pa.binary())])
 
 
@@ -78,7 +80,7 @@ class IterableSource(Source):
 
 
 class CallableSink(Sink):
-    """Calls a function with each record, on the driver, a partition in memory at a time."""
+    """Calls a function with each record, on the driver, which fetches ``FETCHED`` of them at a time, about."""
 
     def __init__(self, fn: Callable[[Any], None]) -> None:
         self.fn = fn
@@ -87,7 +89,12 @@ class CallableSink(Sink):
         return pickled
 
     def write_rows(self, rows: DataFrame, runtime: RuntimeContext, ordered: bool) -> None:
-        rows = rows.orderBy("seq") if ordered else rows
+        size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("bytes")).first()
+        parts = max(-(-size["n"] // FETCHED), -(-size["bytes"] // FETCHED_BYTES))
+        if parts > 1:
+            rows = rows.repartitionByRange(parts, "seq")
+        if ordered:
+            rows = rows.sortWithinPartitions("seq") if parts > 1 else rows.orderBy("seq")
         for r in rows.select("value").toLocalIterator():
             self.fn(pickle.loads(r["value"]))
 

@@ -405,3 +405,50 @@ def test_providers_see_little_of_the_environment(tmp_path, monkeypatch):
     path.write_text("import os\nimport sys\nif 'Descriptor' in sys.modules['__main__'].__dict__: raise ValueError('spawned')\n" + PROVIDER)
     with pytest.raises(ProviderError, match="imported"):
         Registry(tmp_path / "other").install(path)
+
+
+def test_sinks_on_the_driver_fetch_parts_of_bounded_size(spark, monkeypatch):
+    from recordmill.sources import local
+
+    monkeypatch.setattr(local, "FETCHED", 100)
+    sizes, iterator = [], type(spark.range(1)).toLocalIterator
+
+    def watched(self, *args):
+        sizes.extend(self.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect())
+        return iterator(self, *args)
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", watched)
+    seen = []
+    run(spark, [lambda x: x], range(5000), CallableSink(seen.append))
+    assert seen == list(range(5000)) and sum(sizes) == 5000 and max(sizes) < 400
+    seen.clear()
+    run(spark, [lambda x: x], range(5000), CallableSink(seen.append), ordered=False)
+    assert sorted(seen) == list(range(5000)) and max(sizes) < 400
+
+
+def test_counting_errors_holds_no_record(spark, monkeypatch):
+    """Each record that the sink is given is gone when the run ends."""
+    import weakref
+
+    from recordmill import queries
+
+    given, left = [], []
+
+    class Record(dict):
+        pass
+
+    class Watched(CallableSink):
+        def __init__(self, fn):
+            def watched(r):
+                r = Record(r)
+                given.append(weakref.ref(r))
+                fn(r)
+
+            super().__init__(watched)
+
+        def close(self):
+            left.append(sum(x() is not None for x in given))
+
+    monkeypatch.setattr(queries, "CallableSink", Watched)
+    (row,) = queries.errors_counted(spark, "/root/testdata/sf0.001").collect()
+    assert len(given) == row.output_records > 0 and left == [0]
