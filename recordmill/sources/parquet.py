@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import accumulate, pairwise
 from typing import Any
 
 import pyarrow as pa
@@ -76,16 +77,15 @@ class ParquetSource(Source):
         if stored.is_dir(self.path):
             mine = files[runtime.rank :: runtime.world_size]
             return reader.parquet(*mine) if mine else reader.parquet(self.path).limit(0)
-        df, at, keep = reader.parquet(files[0]), 0, []
         meta = _footer(files[0])
-        for k in range(meta.num_row_groups):
-            n = meta.row_group(k).num_rows
-            if k % runtime.world_size == runtime.rank:
-                keep.append((at, at + n))
-            at += n
+        starts = [0, *accumulate(meta.row_group(k).num_rows for k in range(meta.num_row_groups))]
+        # A row finds its group by the cell of ``step`` rows that it lies in: an expression of all groups has no bound.
+        step = max(1, starts[-1] // max(1, meta.num_row_groups))
+        own = [(c, a, b) for a, b in list(pairwise(starts))[runtime.rank :: runtime.world_size] for c in range(a // step, (b - 1) // step + 1)]
+        cells = pa.table([pa.array(x, pa.int64()) for x in (zip(*own) if own else ([], [], []))], ["_cell", "_from", "_to"])
         index = F.col("_metadata.row_index")
-        owns = reduce(lambda a, b: a | b, [(index >= a) & (index < b) for a, b in keep], F.lit(False))
-        return df.filter(owns)
+        owns = (F.floor(index / step) == F.col("_cell")) & (index >= F.col("_from")) & (index < F.col("_to"))
+        return reader.parquet(files[0]).join(F.broadcast(spark.createDataFrame(cells)), owns, "left_semi")  # three cells a group at most, about
 
     def native(self, spark: SparkSession, runtime: RuntimeContext | None = None) -> DataFrame:
         """Filter, then projection, as a plain DataFrame without ``seq``; both reach the scan."""

@@ -452,3 +452,18 @@ def test_counting_errors_holds_no_record(spark, monkeypatch):
     monkeypatch.setattr(queries, "CallableSink", Watched)
     (row,) = queries.errors_counted(spark, "/root/testdata/sf0.001").collect()
     assert len(given) == row.output_records > 0 and left == [0]
+
+
+def test_thousands_of_uneven_row_groups_are_dealt_to_ranks(spark, tmp_path):
+    path, at, want = str(tmp_path / "many.parquet"), 0, {0: [], 1: [], 2: []}
+    with pq.ParquetWriter(path, pa.schema([("x", pa.int64())])) as w:
+        for k in range(12_000):
+            n = 40 if k % 997 == 5 else 1 + k % 3
+            w.write_table(pa.table({"x": pa.array(range(at, at + n), pa.int64())}))
+            want[k % 3] += range(at, at + n)
+            at += n
+    for rank in range(3):
+        source, runtime = ParquetSource(path), RuntimeContext(rank, 3)
+        assert [r.x for r in source.native(spark, runtime).orderBy("x").collect()] == want[rank]
+        rows = Pipeline([lambda r: r["x"]]).results(spark, source, runtime=runtime).orderBy("seq").collect()
+        assert [(r.seq, int(r.value)) for r in rows] == list(enumerate(want[rank]))
