@@ -42,12 +42,16 @@ def fingerprint(text: str | None) -> int:
         return digest(b" ".join(words), SEED)
     join = b" ".join
     n = len(words) - SHINGLE + 1
-    hashes = np.fromiter((digest(join(x), SEED) for x in zip(words, words[1:], words[2:])), np.uint64, n)
+    return simhash(np.fromiter((digest(join(x), SEED) for x in zip(words, words[1:], words[2:])), np.uint64, n))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Bit k is set if it is set in over half of the hashes; zero for none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def _signed(x: int) -> int:

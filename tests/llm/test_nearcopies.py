@@ -99,3 +99,28 @@ def test_ranks_of_dealt_buckets_are_one_to_n(spark, monkeypatch):
     ranks = {key: sorted(r["rank"] for r in got if r.key == key) for key in sizes}
     assert ranks == {key: [] if key == 2 else list(range(1, n + 1)) for key, n in sizes.items()}
     assert sorted((r.key, r.rep) for r in got) == sorted((k, rep) for k, rep, _ in rows if k != 2)
+
+
+def test_fingerprints_and_trees_give_candidates(spark, monkeypatch):
+    """Without any MinHash bucket, similar texts within two bits are found, and only these."""
+    monkeypatch.setattr(nearcopies, "bands", lambda found: [])
+    rng, texts = random.Random(9), {}
+    for k in range(30):
+        base = [f"w{rng.getrandbits(30)}" for _ in range(2000)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(altered(rng, base, 1 if k % 2 else 0))
+    texts = {k: t if k % 4 != 1 else t.replace(" ", "\n") + " end" for k, t in texts.items()}
+    prints = {k: nearcopies.bktree.simhash(nearcopies.shingles(t)) for k, t in texts.items()}
+    want = {k: k - (k % 2 and (prints[k] ^ prints[k - 1]).bit_count() <= 2) for k in texts}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nearcopies.grouped(frame).collect()} == want
+    assert sum(k != c for k, c in want.items()) >= 20
+
+
+def test_candidates_of_fingerprints_are_checked(spark, monkeypatch):
+    """Where all sets have one fingerprint, those that are not similar to its first stay apart."""
+    monkeypatch.setattr(nearcopies, "bands", lambda found: [])
+    base = [f"w{k}" for k in range(300)]
+    texts = {0: " ".join(base), 1: " ".join(altered(random.Random(1), base, 3)), 2: " ".join(altered(random.Random(2), base, 60)), 3: "something else"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    reps = nearcopies.signed(frame).selectExpr("doc_id as rep", "0L as fp", "bands")
+    assert {r.node: r.root for r in nearcopies.joined_sets(frame, reps).collect()} == {0: 0, 1: 0}
